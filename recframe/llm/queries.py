@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, packing, repair
+from . import bpe_codec, jaccard, packing, quality_rules, repair
 from .common import shared_dir, table
 
 
@@ -25,9 +25,19 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents_of(repair.read_ids(spark, path))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
+
+
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_repair": op3_repair,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_jaccard": op8_jaccard,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -89,10 +89,11 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int = 5) -> tuple[Grammar, np.ndarray]:
+def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int = 4, share: float = 0.4) -> tuple[Grammar, np.ndarray]:
     """The grammar of one shard. ``doc``: the document of each id, ascending. Returns also the document of each symbol.
 
-    ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement.
+    ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement;
+    ``share``: of the symbols that 16 bits leave free, what a round may give to its most frequent pairs.
     """
     symbols, rules, lengths, next_symbol = ids.astype(np.int64), [], [np.zeros(0, np.int64)], base
     bits = 20
@@ -121,7 +122,8 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         at_run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, back = at[at_run % 2 == 0], back[at_run % 2 == 0]
         n = np.bincount(back, minlength=len(found))
-        used = n >= max(2, least // 2)
+        room = max(256, int(share * ((1 << 16) - next_symbol)))
+        used = n >= max(2, least // 2, int(np.partition(n, -room)[-room]) + 1 if len(n) > room else 0)
         code = np.cumsum(used) - 1
         at, back = at[used[back]], back[used[back]]
         if len(at) < len(symbols) // 200 or next_symbol + int(used.sum()) >= 1 << 20:
