@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 from .training import fold, labelled_sample
@@ -114,7 +115,7 @@ class Model:
         return 1 / (1 + math.exp(-min(35.0, max(-35.0, x))))
 
 
-def fit(sample: list[tuple[str, int]], prior: float = 500.0, least_z: float = 3.5, least_docs: int = 5) -> Model:
+def fit(sample: list[tuple[str, int]], prior: float = 500.0, least_z: float = 2.5, least_docs: int = 5) -> Model:
     """The model of labelled texts. ``prior``: weight of the Dirichlet prior, in documents; equal texts count once."""
     sample = list(dict.fromkeys(sample))
     toxic, other = Counter(), Counter()
@@ -168,6 +169,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def flag(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with all its columns and the score as ``toxic`` (replaced if there is one), row by row."""
+    docs = docs.drop("toxic")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxic", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for batch in batches:
+            out = [own.score(t or "") for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "toxic"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, first_word, words, score, surprise) of every significant passage."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
