@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, jaccard, line_dedup, packing, quality_classifier, quality_rules, repair, toxicity
+from . import bpe_codec, jaccard, line_dedup, packing, quality_classifier, quality_rules, repair, topk, toxicity, warc
 from .common import shared_dir, table
 
 
@@ -26,6 +26,14 @@ def op3_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.documents_of(repair.read_ids(spark, path))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
 
@@ -51,10 +59,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_repair": op3_repair,
+    "op4_topk": op4_topk,
+    "op5_warc": op5_warc,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_topk": topk.SQL,
+    "op5_warc": warc.SQL,
+}
