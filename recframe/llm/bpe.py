@@ -18,11 +18,12 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import regex
 
+from .common import _SPACE, span_hashes
+
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
 MEMORY = 400_000
@@ -38,10 +39,15 @@ def default_path(name: str) -> str:
 class _Table:
     """An open-addressing hash table from int64 keys to int64 values, probed for whole arrays."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 4 - 1).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        self.bits = max(4, int(max(len(keys), room) * 4 - 1).bit_length())
+        self.room = 1 << (self.bits - 1)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, -1, np.int64)
+        self.add(keys, values)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that aren't in the table yet."""
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
             free = self.keys[slot[left]] == -1
@@ -69,6 +75,37 @@ class _Table:
         return out
 
 
+class _Packed:
+    """The same for keys below 2**43 and values below 2**20, one word to a slot."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4 - 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        word, slot, left = keys << 20 | values, self._slot(keys), np.arange(len(keys))
+        while len(left):
+            at = left[self.slots[slot[left]] == -1]
+            self.slots[slot[at]] = word[at]
+            left = left[self.slots[slot[left]] != word[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        word = self.slots[slot]
+        hit = word >> 20 == keys
+        out = np.where(hit, word & 0xFFFFF, -1)
+        left = np.flatnonzero(~hit & (word != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            word = self.slots[slot[left]]
+            hit = word >> 20 == keys[left]
+            out[left[hit]] = word[hit] & 0xFFFFF
+            left = left[~hit & (word != -1)]
+        return out
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -100,7 +137,7 @@ class SpeculativeBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         key = np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([self.vocab[a + b] for a, b in pairs], np.int64)
-        self.ranks = _Table(key, np.arange(len(pairs), dtype=np.int64))
+        self.ranks = _Packed(key, np.arange(len(pairs), dtype=np.int64))
         # Tokens as symbol lists: bytes, then 256 as the end of a word.
         self.spelled: list[tuple[bytes, bool]] = [(b"", False)] * (max(self.vocab.values()) + 1)
         edges: dict[int, int] = {}
@@ -117,7 +154,7 @@ class SpeculativeBpe:
                     node_token.append(-1)
                 node = nxt
             node_token[node] = i
-        self.edges = _Table(np.fromiter(edges.keys(), np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)))
+        self.edges = _Packed(np.fromiter(edges.keys(), np.int64, len(edges)), np.fromiter(edges.values(), np.int64, len(edges)))
         self.node_token = np.array(node_token, np.int64)
         self.known = np.zeros(0, np.int64)
         self.fits = np.zeros(0, bool)
@@ -147,38 +184,45 @@ class SpeculativeBpe:
         keep = symbols >= 0  # bytes that the vocabulary lacks are dropped
         symbols, word = symbols[keep], word[keep]
         out_w, out_s = [], []
+        rank = np.full(len(symbols), _NONE, np.int64)  # of each symbol with the next one of its word
+        self._rank(rank, np.arange(len(symbols)), symbols, word)
         while len(symbols):
-            rank = np.full(len(symbols), _NONE, np.int64)
-            pair = np.flatnonzero(word[:-1] == word[1:])
-            got = self.ranks.get(symbols[pair] << 20 | symbols[pair + 1])
-            rank[pair] = np.where(got >= 0, got, _NONE)
             change = np.ones(len(word), bool)
             change[1:] = word[1:] != word[:-1]
             start = np.flatnonzero(change)
             best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(word))))
-            done = best == _NONE
-            if done.any():
-                out_w.append(word[done])
-                out_s.append(symbols[done])
-            live = ~done
-            symbols, word, rank, best = symbols[live], word[live], rank[live], best[live]
-            if not len(symbols):
-                break
+            live = best != _NONE
+            if not live.all():
+                out_w.append(word[~live])
+                out_s.append(symbols[~live])
+                symbols, word, rank, best = symbols[live], word[live], rank[live], best[live]
+                if not len(symbols):
+                    break
             at = np.flatnonzero(rank == best)
             run = np.ones(len(at), bool)  # of neighbouring equal pairs (aaa) every second, from the left
             run[1:] = at[1:] != at[:-1] + 1
-            head = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - head) % 2 == 0]
+            if not run.all():
+                k = np.arange(len(at))
+                at = at[(k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0]
             symbols[at] = self.merged[rank[at]]
             stay = np.ones(len(symbols), bool)
             stay[at + 1] = False
-            symbols, word = symbols[stay], word[stay]
+            symbols, word, rank = symbols[stay], word[stay], rank[stay]
+            at -= np.arange(len(at))
+            self._rank(rank, np.concatenate((at, at[at > 0] - 1)), symbols, word)
         if not out_w:
             return np.zeros(0, np.int64), np.zeros(len(n), np.int64)
         w, s = np.concatenate(out_w), np.concatenate(out_s)
         order = np.argsort(w, kind="stable")
         return s[order], np.bincount(w, minlength=len(n)).astype(np.int64)
 
+    def _rank(self, rank: np.ndarray, at: np.ndarray, symbols: np.ndarray, word: np.ndarray) -> None:
+        rank[at] = _NONE
+        at = at[at + 1 < len(word)]
+        at = at[word[at] == word[at + 1]]
+        got = self.ranks.get(symbols[at] << 20 | symbols[at + 1])
+        rank[at] = np.where(got >= 0, got, _NONE)
+
     def _propose(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Greedy longest match: (tokens, number for each word, words without a full match)."""
         n = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -292,52 +336,77 @@ class _Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.units: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {self.mark: self.gap}
         self.by_library = 0
+        self.forget()
 
     def normal(self, text: str) -> str:
         return text
 
-    def split(self, text: bytes) -> list[bytes]:
+    def units_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the units in the bytes of several texts, each of which stands before one of ``ends``."""
         raise NotImplementedError
 
-    def learn(self, missing: list[bytes]) -> None:
+    def learn(self, missing: list[bytes]) -> list[bytes]:
         """Encodes units that aren't remembered: plain ones by proposal and check, all others by the library."""
         text = self.mark.encode().join(missing).decode("utf-8", "replace")
-        rest: list[bytes] = []
+        plain = missing
         if self.odd.search(text) or text.count(self.mark) != len(missing) - 1:
-            odd = self.odd
-            rest = [u for u in missing if odd.search(t := u.decode("utf-8", "replace")) or self.mark in t]
-            out = set(rest)
-            missing = [u for u in missing if u not in out]
-            text = self.mark.encode().join(missing).decode()
-        if missing:
+            plain = [u for u in missing if not self.odd.search(t := u.decode("utf-8", "replace")) and self.mark not in t]
+            text = self.mark.encode().join(plain).decode()
+        found: dict[bytes, bytes] = {}
+        if plain:
             parts = self.parts_of.findall(self.normal(text))
             names = list(set(parts).difference(self.parts))
             if len(self.parts) + len(names) > MEMORY:
                 self.parts = {self.mark: self.gap}
                 names = list(set(parts).difference(self.parts))
             self.parts.update(zip(names, self.bpe.encode([p.encode() for p in names]), strict=True))
-            ids = b"".join(map(self.parts.__getitem__, parts)).split(self.gap)
-            self.units.update(zip(missing, ids, strict=True))
-        if rest:
+            found.update(zip(plain, b"".join(map(self.parts.__getitem__, parts)).split(self.gap), strict=True))
+        if rest := [u for u in missing if u not in found]:
             self.by_library += len(rest)
             for unit, e in zip(rest, self.library.encode_batch_fast([u.decode("utf-8", "replace") for u in rest], add_special_tokens=False), strict=True):
-                self.units[unit] = np.array(e.ids, "<u4").tobytes()
+                found[unit] = np.array(e.ids, "<u4").tobytes()
+        return [found[u] for u in missing]
+
+    def forget(self) -> None:
+        self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), MEMORY)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
 
     def encode(self, rows: list[bytes]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        units = [self.split(r) for r in rows]
-        asked = set(chain.from_iterable(units))
-        missing = asked.difference(self.units)
-        if missing:
-            if len(self.units) + len(missing) > MEMORY:
-                self.units = {}
-                missing = asked
-            self.learn(list(missing))
-        get = self.units.__getitem__
-        return [b"".join(map(get, u)) for u in units]
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        Units are looked up by 64-bit hashes of their bytes, all units of the texts at once.
+        """
+        data = np.frombuffer(b"".join(rows), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
+        begin, end = self.units_of(data, ends)
+        key = (span_hashes(data, begin, end) >> np.uint64(1)).view(np.int64)
+        entry = self.known.get(key)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            keys, first = np.unique(key[new], return_index=True)
+            if len(self.start) + len(keys) > MEMORY:
+                self.forget()
+                keys, new = np.unique(key, return_index=True)
+            else:
+                new = new[first]
+            raw = data.tobytes()
+            told = self.learn([raw[i:j] for i, j in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+            if len(self.start) + len(keys) > self.known.room:
+                self.known = _Table(self.known.keys[self.known.keys >= 0], self.known.values[self.known.keys >= 0], 2 * (len(self.start) + len(keys)))
+            self.known.add(keys, np.arange(len(self.start), len(self.start) + len(keys)))
+            size = np.fromiter(map(len, told), np.int64, len(told)) // 4
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(told), "<u4")))
+            entry = self.known.get(key)
+        size = self.size[entry]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        flat = self.ids[np.repeat(self.start[entry] - upto[:-1], size) + np.arange(upto[-1])].astype("<u4").tobytes()
+        to = 4 * upto[np.searchsorted(begin, ends, side="left")]
+        return [flat[i:j] for i, j in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
 
 class WordEncoder(_Encoder):
@@ -351,8 +420,13 @@ class WordEncoder(_Encoder):
     def normal(self, text: str) -> str:
         return text.lower()
 
-    def split(self, text: bytes) -> list[bytes]:
-        return text.split()
+    def units_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        word = ~_SPACE[data]
+        edge = np.zeros(len(data) + 1, bool)  # where a text begins
+        edge[ends] = True
+        begin = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & edge[:-1]) if len(data) else np.zeros(0, np.int64)
+        end = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1 if len(data) else begin
+        return begin, end
 
     def decode_table(self) -> list[str]:
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -365,18 +439,22 @@ class ByteEncoder(_Encoder):
     mark = "\x01"
     odd = re.compile("[^\x01\t\n\r -~\xa1-\xac\xae-\u024f]|<\\||\\s\\s|\\s(?:\x01|\\Z)")
     parts_of = regex.compile(r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?!\S)|\s+")
-    cuts = re.compile(r"(?<=\S) (?=\S)")
-    mixed = re.compile(rb"[ \t\r\n\x0b\x0c\x1c-\x1f][ \t\r\n\x0b\x0c\x1c-\x1f]")
-    wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")
-
-    def split(self, text: bytes) -> list[bytes]:
-        if not text:
-            return []
-        if text[0] in b" \t\n\r\x0b\x0c" or text[-1] in b" \t\n\r\x0b\x0c" or self.mixed.search(text) or self.wide.search(text):
-            first, *rest = self.cuts.split(text.decode("utf-8", "replace"))
-            return [first.encode(), *[b" " + r.encode() for r in rest]]
-        # every space stands between two other characters here: each unit but the first begins with its space
-        return text.replace(b" ", b"\x00 ").split(b"\x00") if b"\x00" not in text else [text]
+    wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")  # bytes of white space beyond ASCII
+    space = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
+
+    def units_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        blank = self.space[data]
+        cut = np.zeros(n + 1, bool)
+        cut[1 : n - 1] = (data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
+        for m in self.wide.finditer(data):  # a text's part around such bytes stays whole
+            cut[max(0, m.start() - 2) : m.end() + 2] = False
+        cut[0] = True
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        return at[:-1], at[1:]
 
 
 _KINDS = {"word": (WordEncoder, WORD_BPE), "byte": (ByteEncoder, BYTE_BPE)}

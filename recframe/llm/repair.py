@@ -103,7 +103,10 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         inside = doc[1:] == doc[:-1]
         pair = symbols[:-1] << 20 | symbols[1:]
         bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        heavy = np.bincount(bucket[inside], minlength=1 << bits) >= least  # no pair in a light bucket is frequent
+        room = max(256, int(share * ((1 << 16) - next_symbol)))
+        counts = np.bincount(bucket[inside], minlength=1 << bits)
+        # no pair in a light bucket is frequent enough: the room goes to the most frequent ones
+        heavy = counts >= max(least, int(np.partition(counts, -2 * room)[-2 * room]))
         at = np.flatnonzero(inside & heavy[bucket])
         found, back, n = np.unique(pair[at], return_inverse=True, return_counts=True)
         often = n >= least
@@ -122,7 +125,6 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         at_run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, back = at[at_run % 2 == 0], back[at_run % 2 == 0]
         n = np.bincount(back, minlength=len(found))
-        room = max(256, int(share * ((1 << 16) - next_symbol)))
         used = n >= max(2, least // 2, int(np.partition(n, -room)[-room]) + 1 if len(n) > room else 0)
         code = np.cumsum(used) - 1
         at, back = at[used[back]], back[used[back]]
