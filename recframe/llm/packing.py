@@ -79,7 +79,7 @@ class VectorPacker:
 
     def _pack(self, least: int) -> Iterator[tuple[int, list]]:
         """Fills sequences until at most ``least`` pieces wait."""
-        sizes = np.array([[w[2], 1, w[3]] for w in self.waiting], float)
+        sizes = np.array([[w[2], 1, w[3]] for w in self.waiting], float).reshape(-1, 3)
         share = sizes / self.limits
         live = np.ones(len(sizes), bool)
         while (n := int(live.sum())) > least:
