@@ -46,7 +46,7 @@ def test_layout_arithmetic():
     with pytest.raises(ValueError):
         layout.LayoutConfig(num_splits=0)
     plan = layout.plan([(0, 5), (1, 50), (2, 60), (3, 5000), (4, 700)], layout.LayoutConfig(merge_below=100, tiny_below=10, split_from=1000, split_to=9999, num_splits=2))
-    assert plan == [(0, "tiny", 3, 0, 5), (1, "merge", 0, 0, 50), (2, "merge", 0, 50, 60), (3, "split", 1, 0, 2500), (3, "split", 2, 2500, 2500), (4, "medium", 4, 0, 700)]
+    assert plan == [(0, "tiny", 1, 0, 5), (1, "merge", 0, 0, 50), (2, "merge", 0, 50, 60), (3, "split", 2, 0, 2500), (3, "split", 3, 2500, 2500), (4, "medium", 4, 0, 700)]
 
 
 def test_hot_set_and_remap(spark):
