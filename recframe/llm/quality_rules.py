@@ -158,3 +158,44 @@ def assess(docs: DataFrame, min_words: int = 50, class_limit: float = 0.15, word
     extra = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     diverges = (F.coalesce("class_distance", F.lit(0.0)) > class_limit + extra / 4) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit + extra)
     return full.withColumn("kept", ~F.col("base_failed") & ~diverges).select(*names, *METRICS)
+
+
+def _sql() -> str:
+    """The assessment in DuckDB, distances to six places; the limits are the defaults of ``assess``."""
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
+    left, steps = "t", []
+    for k, pattern in enumerate(CLASSES):
+        quoted = pattern.replace("'", "''")
+        steps.append(f"regexp_replace({left}, '{quoted}', '', 'g') AS l{k}")
+        left = f"l{k}"
+    chain = "d0"
+    ctes = []
+    for k, step in enumerate(steps):
+        ctes.append(f"d{k + 1} AS (SELECT *, {step} FROM {chain})")
+        chain = f"d{k + 1}"
+    names = ["t", *[f"l{k}" for k in range(len(CLASSES))]]
+    classes = ", ".join([*[f"length({a}) - length({b})" for a, b in zip(names, names[1:], strict=False)], f"length({names[-1]})"])
+    n_classes, n_words = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
+    mean = lambda v, n: "[" + ", ".join(f"avg({v}[{k}])" for k in range(1, n + 1)) + "]"
+    part = lambda p, q: f"(CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END)"
+    js = lambda p, q: f"sqrt(greatest(list_sum(list_transform(list_zip({p}, {q}), lambda x: {part('x[1]', 'x[2]')} + {part('x[2]', 'x[1]')})) / 2, 0))"
+    word = r"[^\x20\x09-\x0D]"
+    return f"""
+WITH d0 AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({', '.join(repr(x) for x in COMMON_WORDS)}) THEN lang ELSE '' END AS g,
+  regexp_extract_all(coalesce(text, ''), '{word}+') AS ws FROM documents), {', '.join(ctes)},
+m AS (SELECT rn, doc_id, g, ws, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')) AS lines, [{classes}] AS cls, CASE g {lists} ELSE [] END AS common FROM {chain}),
+u AS (SELECT rn, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM m WHERE len(ws) > 2), v AS (SELECT rn, i, ws[i] || chr(10) || ws[i + 1] || chr(10) || ws[i + 2] AS k FROM u),
+s AS (SELECT rn, unnest(list(i)) AS i FROM v GROUP BY rn, k HAVING count(*) > 1), r AS (SELECT rn, count(DISTINCT i + o) AS n FROM s, (VALUES (0), (1), (2)) x(o) GROUP BY rn),
+h AS (SELECT m.*, coalesce(r.n, 0) AS rep, list_transform(common, lambda c: len(list_filter(ws, lambda x: x = c))) AS hits FROM m LEFT JOIN r USING (rn)),
+f AS (SELECT rn, doc_id, g, n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, rep AS n_repeat_words,
+  n_words < 50 OR 100 * rep > 50 * n_words AS base_failed, list_transform(cls, lambda x: x / greatest(list_sum(cls), 1)) AS p,
+  list_transform(list_append(hits, n_words - CAST(coalesce(list_sum(hits), 0) AS BIGINT)), lambda x: x / greatest(n_words, 1)) AS q FROM h),
+a AS (SELECT g, {mean('p', n_classes)} AS rp, {mean('q', n_words)} AS rq FROM f WHERE n_words >= 50 AND g <> '' GROUP BY g UNION ALL SELECT '', {mean('p', n_classes)}, [] FROM f WHERE n_words >= 50),
+z AS (SELECT f.*, CASE WHEN n_words >= 50 AND rp IS NOT NULL THEN {js('p', 'rp')} END AS cd, CASE WHEN n_words >= 50 AND len(rq) > 0 THEN {js('q', 'rq')} END AS wd FROM f LEFT JOIN a USING (g))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance,
+  NOT base_failed AND NOT (coalesce(cd, 0) > 0.15 + 0.25 / sqrt(greatest(n_words, 1)) OR coalesce(wd, 0) > 0.15 + 1 / sqrt(greatest(n_words, 1))) AS kept FROM z
+"""
+
+
+SQL = _sql()

@@ -35,7 +35,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
+    out = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).drop("lang", "text")
+    return out.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +71,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
     "op5_warc": warc.SQL,
+    "op6_quality_rules": quality_rules.SQL,
 }
