@@ -5,8 +5,8 @@
 2. A second pass emits each set's prefix under that order: two sets of the wanted similarity share a prefix shingle.
    Sets that are equal are joined by their digest first, and only one document of each goes on.
 3. Documents that share a prefix shingle are candidates if the length filter and the positional filter (what two sets
-   can share before, at and after the shingle's places) allow it; a suffix filter compares how many shingles the two
-   sets have in each of 16 hash ranges, whose differences bound the overlap from above.
+   can share from the shingle's places on) allow it; a suffix filter compares how many shingles the two
+   sets have in each of 128 hash ranges (counts up to 255), whose differences bound the overlap from above.
 4. Each candidate pair is verified once, on the whole sets. Groups are never expanded into all their pairs: first each
    document meets the smallest document of its prefix shingles; after that, in turns with fresh leaders, only
    documents whose components still differ meet; at last all remaining pairs across components do. A pair that is
@@ -28,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ngram_hashes, sets_of, slices, stored, texts, words_of
+from .common import cut, dropped, ngram_hashes, sets_of, slices, stored, texts, words_of
 from .graph import components
 
-BUCKETS, CHUNK, RANGES = 1 << 18, 1 << 12, 16
-_FIRST = "doc_id long, n long, d1 long, d2 long, chunk int, part long, counts binary"
+BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
+_FIRST = "doc_id long, n long, d1 long, d2 long, ranges binary, chunk int, part long, counts binary"
 
 
 def _sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,12 +59,15 @@ def _first_pass(words: int):
                 d1 = _sum_by(h * (h | np.uint64(1)), n)
                 d2 = _sum_by((h ^ (h >> np.uint64(29))) * np.uint64(0xA24BAED4963EE407) ^ h >> np.uint64(7), n)
                 k = hi - lo
+                row = np.repeat(np.arange(k), n)
+                spread = np.minimum(np.bincount(row * RANGES + (h >> np.uint64(57)).astype(np.int64), minlength=k * RANGES), 255).astype(np.uint8).reshape(k, RANGES)
+                ranges = pa.array([r.tobytes() for r in spread], pa.binary())
                 nothing = pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *nothing], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), ranges, *nothing], names=names)
         if counts.any():
             blobs = counts.reshape(-1, CHUNK)
             k = len(blobs)
-            none = [pa.nulls(k, pa.int64())] * 4
+            none = [*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int64()), pa.array([b.astype("<u8").tobytes() for b in blobs])], names=names)
 
     return run
@@ -108,51 +111,58 @@ def _prefixes(order: np.ndarray, words: int, percent: int):
     return run
 
 
-def _set_rows(words: int):
+def _set_rows(words: int, needed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            slot = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((needed.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi in slices(batch.column(1)):
                 h, n = _sets(batch.column(1).slice(lo, hi - lo), words)
-                row = np.repeat(np.arange(hi - lo), n)
-                ranges = np.bincount(row * RANGES + (h >> np.uint64(60)).astype(np.int64), minlength=(hi - lo) * RANGES).reshape(-1, RANGES).astype("<u4")
                 flat, to = h.tobytes(), (np.cumsum(n) * 8).tolist()
                 sets = [flat[b - 8 * k : b] for b, k in zip(to, n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary()), pa.array([r.tobytes() for r in ranges], pa.binary())], names=["doc_id", "hashes", "ranges"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
+
+    return run
+
+
+def _suffix_filter(percent: int):
+    """Rows (a, b, n_a, n_b, ranges_a, ranges_b) to the pairs (a, b) that may be similar: what the counts of a hash range
+    differ by can't be shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int32) for k in (4, 5))
+            share = (n - np.abs(x - y).sum(1)) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(100 * share >= percent * (n - share)))
 
     return run
 
 
 def _verify(percent: int):
-    """Rows (a, b, set_a, set_b, ranges_a, ranges_b) to linked pairs (a, b, similarity)."""
+    """Rows (a, b, set_a, set_b) to linked pairs (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb, ra, rb = (batch.column(k) for k in range(6))
-            ua, ub = ra.to_pylist(), rb.to_pylist()
-            if not ua:
-                continue
-            qa, qb = np.frombuffer(b"".join(ua), "<u4").reshape(-1, RANGES).astype(np.int64), np.frombuffer(b"".join(ub), "<u4").reshape(-1, RANGES).astype(np.int64)
-            total = qa.sum(1) + qb.sum(1)
-            # suffix filter: what the ranges' counts differ by can't be shared
-            at_most = np.minimum(qa, qb).sum(1)
-            maybe = np.flatnonzero(100 * at_most >= percent * (total - at_most))
-            out = []
-            for i in maybe.tolist():
-                x, y = np.frombuffer(sa[i].as_py(), np.uint64), np.frombuffer(sb[i].as_py(), np.uint64)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                both = np.sort(np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))), kind="stable")
                 same = int((both[1:] == both[:-1]).sum())
-                if 100 * same >= percent * (len(both) - same):
-                    out.append((a[i].as_py(), b[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+                keep.append(100 * same >= percent * (len(both) - same))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
-    """Length and positional filters of two sets that share the shingle at places p1 and p2."""
-    least, most = F.least(n1, n2), F.greatest(n1, n2)
-    share = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return (100 * least.cast("long") >= percent * most.cast("long")) & ((100 + percent) * share.cast("long") >= percent * (n1 + n2).cast("long"))
+    """Length and positional filters of two sets that share a shingle at places p1 and p2.
+
+    Of the first shingle that they share it is true that all else they share comes after it, in both; so a pair that
+    is similar enough passes at that shingle, and needn't at others.
+    """
+    least, most = F.least(n1, n2).cast("long"), F.greatest(n1, n2).cast("long")
+    share = 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
+    return (100 * least >= percent * most) & ((100 + percent) * share.cast("long") >= percent * (least + most))
 
 
 class JaccardJoin:
@@ -180,30 +190,51 @@ class JaccardJoin:
         own = own.filter((F.col("comp") != F.col("comp2")) & _possible(F.col("n"), F.col("place"), F.col("n2"), F.col("place2"), self.percent))
         return own.select(F.least("doc_id", "doc2").alias("a"), F.greatest("doc_id", "doc2").alias("b")).distinct()
 
-    def _links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        one = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b"), F.col("ranges").alias("ranges_b"))
-        two = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a"), F.col("ranges").alias("ranges_a"))
-        full = pairs.join(one, "b").join(two, "a").select("a", "b", "set_a", "set_b", "ranges_a", "ranges_b")
-        return full.mapInArrow(_verify(self.percent), "a long, b long")
+    def _needed(self, pairs: DataFrame) -> np.ndarray:
+        """A bitmap of the hashed ids in ``pairs``: at most 8 MB whatever their number; more ids only let more through."""
+        slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)) + 1
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(slot.alias("slot"))
+        maps = ids.groupBy(F.bitmap_bucket_number("slot").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+        out = np.zeros(SLOTS // 8, np.uint8)
+        for r in maps:
+            part = np.frombuffer(r["bits"], np.uint8)
+            out[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(part)] = part
+        return out
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that whole sets confirm. Only documents that a pair may name leave the scan, as sets."""
+        bits = self.docs.sparkSession.sparkContext.broadcast(self._needed(pairs))
+        asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
+        sets = asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+        full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
+        full = full.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
+        return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
+
+    def _plausible(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
+        one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
+        two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
+        full = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
+        return full.mapInArrow(_suffix_filter(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, n_links): links are those that were verified, to other texts' sets."""
         first = stored(self.docs.mapInArrow(_first_pass(self.words), _FIRST), "jaccard-first")
-        digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "n", "d1", "d2")
+        digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "n", "d1", "d2", "ranges")
         counts = _bucket_counts(first)
         order = np.empty(BUCKETS, np.int32)
         order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
         rep = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         postings = self.docs.filter("doc_id is not null").mapInArrow(_prefixes(order, self.words, self.percent), "token long, doc_id long, n int, place int")
-        postings = postings.repartition("token")
-        often = postings.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("token")
-        shared = postings.join(often, "token", "left_semi")
+        postings = stored(postings, "jaccard-prefixes")
+
+        def several(rows: DataFrame) -> DataFrame:
+            return rows.join(rows.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1").select("token"), "token", "left_semi")
+
         reps = rep.select(F.col("rep").alias("doc_id"))
-        shared = shared.join(reps, "doc_id", "left_semi").groupBy("token", "doc_id").agg(F.first("n").alias("n"), F.min("place").alias("place"))
-        shared = stored(shared, "jaccard-postings")
-        active = shared.select("doc_id").distinct()
-        sets = self.docs.join(active, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_set_rows(self.words), "doc_id long, hashes binary, ranges binary")
-        sets = stored(sets, "jaccard-sets")
+        shared = several(postings).join(reps, "doc_id", "left_semi").groupBy("token", "doc_id").agg(F.first("n").alias("n"), F.min("place").alias("place"))
+        shared = stored(several(cut(shared)), "jaccard-postings")
+        dropped(postings)
+        profiles = digests.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
         comp = None
         links = None
         tested = None
@@ -215,12 +246,12 @@ class JaccardJoin:
             pairs = self._pairs(state, turn)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
+            pairs = cut(self._plausible(pairs, profiles))
             tested = pairs if tested is None else tested.unionByName(pairs)
             n = pairs.count()
             self.log[f"pairs {turn}"] = n
             if n:
-                found = cut(self._links(pairs, sets))
+                found = cut(self._links(pairs))
                 links = found if links is None else links.unionByName(found)
                 self.log[f"links {turn}"] = k = found.count()
                 if k:
@@ -233,7 +264,7 @@ class JaccardJoin:
         degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        out = digests.join(group, ["n", "d1", "d2"], "left")
+        out = digests.drop("ranges").join(group, ["n", "d1", "d2"], "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
