@@ -89,14 +89,14 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int = 4, share: float = 0.4) -> tuple[Grammar, np.ndarray]:
+def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int = 3, share: float = 0.4) -> tuple[Grammar, np.ndarray]:
     """The grammar of one shard. ``doc``: the document of each id, ascending. Returns also the document of each symbol.
 
     ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement;
     ``share``: of the symbols that 16 bits leave free, what a round may give to its most frequent pairs.
     """
     symbols, rules, lengths, next_symbol = ids.astype(np.int64), [], [np.zeros(0, np.int64)], base
-    bits = 20
+    bits = 17
     for _ in range(rounds):
         if len(symbols) < 2:
             break
@@ -191,21 +191,24 @@ def write_ids(docs: DataFrame, path: str, **options) -> None:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document of a directory, decoded shard by shard.
+    """The shards of a directory."""
+    return spark.read.schema(FORMAT).parquet(path)
 
-    Where a shard begins is a running sum over partitions and then over a partition's shards; the first has one row
-    for each partition, so no task sees a row for each shard of the whole directory.
+
+def places(shards: DataFrame) -> DataFrame:
+    """(partition, shard, first_id): how many ids stand before each shard.
+
+    A running sum over partitions and then over a partition's shards; the first has one row for each partition, so no
+    task sees a row for each shard of the whole directory.
     """
-    shards = spark.read.schema(FORMAT).parquet(path)
     sums = shards.groupBy("partition").agg(F.sum("n_ids").alias("n"))
     before = sums.select("partition", (F.sum("n").over(Window.orderBy("partition")) - F.col("n")).alias("before_partition"))
     inner = Window.partitionBy("partition").orderBy("shard")
-    places = shards.select("partition", "shard", "n_ids").withColumn("before_shard", F.sum("n_ids").over(inner) - F.col("n_ids"))
-    places = places.join(before, "partition").select("partition", "shard", (F.col("before_partition") + F.col("before_shard")).alias("first_id"))
-    return shards.join(places, ["partition", "shard"])
+    own = shards.select("partition", "shard", "n_ids").withColumn("before_shard", F.sum("n_ids").over(inner) - F.col("n_ids"))
+    return own.join(before, "partition").select("partition", "shard", (F.col("before_partition") + F.col("before_shard")).alias("first_id"))
 
 
-DOCUMENT = "doc_id long, start long, n_tokens long, ids_crc32 long"
+DOCUMENT = "partition int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def decode_shard(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -221,15 +224,21 @@ def decode_shard(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
-    """Per document of the read shards: where it starts among all ids, its number of ids and their CRC."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document: its place among all ids, its number of ids and their CRC.
+
+    Shards are decoded where they are read; only the documents' few numbers meet the shards' places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                at, out = row["first_id"], []
+            for k in range(batch.num_rows):
+                row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
+                at, out = 0, []
                 for doc_id, ids in decode_shard(row):
-                    out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((row["partition"], row["shard"], doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     at += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DOCUMENT.split(", ")])
 
-    return shards.mapInArrow(run, DOCUMENT)
+    found = shards.mapInArrow(run, DOCUMENT).join(places(shards), ["partition", "shard"])
+    return found.select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
