@@ -264,8 +264,9 @@ class JaccardJoin:
         degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        out = digests.drop("ranges").join(group, ["n", "d1", "d2"], "left")
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        out = first.filter("chunk is null").select("doc_id", "n", "d1", "d2").join(group, ["n", "d1", "d2"], "left")
+        named = F.col("doc_id").isNotNull()
+        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 90, words: int = 3, turns: int = 2) -> DataFrame:

@@ -160,6 +160,16 @@ def assess(docs: DataFrame, min_words: int = 50, class_limit: float = 0.15, word
     return full.withColumn("kept", ~F.col("base_failed") & ~diverges).select(*names, *METRICS)
 
 
+def keep(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that the rules keep.
+
+    A row number, which Spark can't move a filter through, holds the verdict together: pushed below the projections it
+    would be written out, with all that it is made of, many times over.
+    """
+    judged = assess(docs, **options).withColumn("_at", F.monotonically_increasing_id())
+    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select(*[c for c in docs.columns if c not in METRICS])
+
+
 def _sql() -> str:
     """The assessment in DuckDB, distances to six places; the limits are the defaults of ``assess``."""
     lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in COMMON_WORDS.items())
