@@ -20,7 +20,7 @@ from recframe.llm.common import shared_dir, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.assess(docs).filter("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
