@@ -10,7 +10,10 @@
 4. Each candidate pair is verified once, on the whole sets. Groups are never expanded into all their pairs: first each
    document meets the smallest document of its prefix shingles; after that, in turns with fresh leaders, only
    documents whose components still differ meet; at last all remaining pairs across components do. A pair that is
-   skipped lies within one component already, so no link between components is lost.
+   skipped lies within one component already, so the components are final.
+5. Linked documents share a component, so all links are counted within components: every two different sets of a
+   component are compared whole, in blocks of about BLOCK sets, and only the blocks' counts for each document leave
+   their task. A partner counts with all its exact copies.
 
 Shingles are told apart by 64-bit hashes. Defined results: null texts and texts without words have an empty set, link
 with nothing and are their own component; a text of fewer words than a shingle is one shingle; rows with equal doc_id
@@ -32,6 +35,8 @@ from .common import cut, dropped, ngram_hashes, sets_of, slices, stored, texts,
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
+#: Sets of a component that are compared with one another block in one task; and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 128, 1 << 18
 _FIRST = "doc_id long, n long, d1 long, d2 long, ranges binary, chunk int, part long, counts binary"
 
 
@@ -154,6 +159,61 @@ def _verify(percent: int):
     return run
 
 
+def _incidence(code: np.ndarray, row: np.ndarray, rows: int, lo: int, hi: int) -> np.ndarray:
+    """Which of the shingles lo ... hi - 1 each set has. ``code``: ascending."""
+    at = slice(*np.searchsorted(code, (lo, hi)))
+    out = np.zeros((rows, hi - lo), np.float32)
+    out[row[at], code[at] - lo] = 1
+    return out
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``x`` shares with each of ``y``."""
+    flat = [np.concatenate(s) for s in (x, y)]
+    both = np.intersect1d(*(np.unique(f) for f in flat), assume_unique=True)
+    parts = []
+    for sets, f in zip((x, y), flat, strict=True):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        code = np.minimum(np.searchsorted(both, f), max(len(both) - 1, 0))
+        keep = both[code] == f if len(both) else np.zeros(len(f), bool)
+        order = np.argsort(code[keep], kind="stable")
+        parts.append((code[keep][order], row[keep][order]))
+    out = np.zeros((len(x), len(y)), np.int64)
+    step = 1 << 12
+    for lo in range(0, len(both), step):
+        hi = min(lo + step, len(both))
+        a, b = (_incidence(code, row, len(sets), lo, hi) for (code, row), sets in zip(parts, (x, y), strict=True))
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _count_links(percent: int):
+    """Two blocks of a component's sets, (doc_id, block, copies, hashes), to each document's linked documents in the other."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        block = table.column("block").to_numpy()
+        doc_id, copies = table.column("doc_id").to_numpy(), table.column("copies").to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table.column("hashes")]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        ids, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(left) and len(right):
+            x, y = [sets[k] for k in left], [sets[k] for k in right]
+            same = _shared(x, y)
+            size = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])
+            linked = 100 * same >= percent * (size - same)
+            if i == j:
+                np.fill_diagonal(linked, False)
+            else:
+                ids.append(doc_id[right])
+                links.append(linked.T @ copies[left])
+            ids.append(doc_id[left])
+            links.append(linked @ copies[right])
+        return pa.table({"rep": pa.array(np.concatenate(ids), pa.int64()), "links": pa.array(np.concatenate(links), pa.int64())})
+
+    return run
+
+
 def _possible(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
     """Length and positional filters of two sets that share a shingle at places p1 and p2.
 
@@ -201,15 +261,32 @@ class JaccardJoin:
             out[(r["k"] - 1) * 4096 : (r["k"] - 1) * 4096 + len(part)] = part
         return out
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that whole sets confirm. Only documents that a pair may name leave the scan, as sets."""
+    def _sets_of(self, pairs: DataFrame) -> DataFrame:
+        """(doc_id, hashes): only documents that a pair may name leave the scan, as sets."""
         bits = self.docs.sparkSession.sparkContext.broadcast(self._needed(pairs))
         asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
-        sets = asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+        return asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+
+    def _links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that whole sets confirm."""
+        sets = self._sets_of(pairs)
         full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
         full = full.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
 
+    def _degrees(self, comp: DataFrame, rep: DataFrame) -> DataFrame:
+        """(rep, links): how many documents of other texts each representative is linked with. ``comp``: the final components."""
+        member = comp.join(rep.select(F.col("rep").alias("node"), "n", "copies"), "node").select(F.col("node").alias("doc_id"), "component", "n", "copies")
+        blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+        several = member.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1")
+        member = member.join(several, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+        sets = self._sets_of(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        # a set meets every block of its component, its own too; of two blocks the smaller one names the group first
+        full = member.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        full = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "hashes")
+        return full.groupBy("component", "i", "j").applyInArrow(_count_links(self.percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
     def _plausible(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
         one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
         two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
@@ -217,13 +294,13 @@ class JaccardJoin:
         return full.mapInArrow(_suffix_filter(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, n_links): links are those that were verified, to other texts' sets."""
+        """(doc_id, n_shingles, component_id, n_links): links are all other documents whose sets are similar enough."""
         first = stored(self.docs.mapInArrow(_first_pass(self.words), _FIRST), "jaccard-first")
         digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "n", "d1", "d2", "ranges")
         counts = _bucket_counts(first)
         order = np.empty(BUCKETS, np.int32)
         order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
-        rep = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        rep = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
         postings = self.docs.filter("doc_id is not null").mapInArrow(_prefixes(order, self.words, self.percent), "token long, doc_id long, n int, place int")
         postings = stored(postings, "jaccard-prefixes")
 
@@ -256,12 +333,12 @@ class JaccardJoin:
                 self.log[f"links {turn}"] = k = found.count()
                 if k:
                     comp = cut(components(links))
-        if links is None:
-            links = digests.sparkSession.createDataFrame([], "a long, b long")
         if comp is None:
             comp = digests.sparkSession.createDataFrame([], "node long, component long")
-        # every document through its set's representative; n_links counts verified links and equal sets
-        degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+            degree = digests.sparkSession.createDataFrame([], "rep long, links long")
+        else:
+            degree = cut(self._degrees(comp, rep))
+        # every document through its set's representative; n_links counts the partners' copies and the own ones
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
         out = first.filter("chunk is null").select("doc_id", "n", "d1", "d2").join(group, ["n", "d1", "d2"], "left")

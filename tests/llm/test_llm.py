@@ -284,6 +284,24 @@ def test_jaccard(spark, documents, percent, words):
     assert got == components_by_force(rows, percent, words)
 
 
+def test_jaccard_counts_all_links(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for _ in range(200):  # more different texts than one block holds
+        w = [f"w{k}" for k in range(100)]
+        for j in rng.integers(0, 100, rng.integers(0, 4)):
+            w[j] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(w))
+    texts += [*texts[:20], *texts[:5], *[f"v{k} " + " ".join(f"u{j}" for j in range(60)) for k in range(3)], "alone here now", "", None]
+    sets = {i: set(zip(*[(t or "").split()[k:] for k in range(3)], strict=False)) for i, t in enumerate(texts)}
+    want = {i: sum(10 * len(a & b) >= 9 * len(a | b) for k, b in sets.items() if k != i) if a else 0 for i, a in sets.items()}
+    # a document that stands there twice is one
+    df = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[0])], "doc_id bigint, text string").repartition(3)
+    got = jaccard.near_duplicates(df).collect()
+    assert {r["doc_id"]: r["n_links"] for r in got if r["doc_id"] is not None} == want and len(got) == len(texts) + 2
+    assert [r["n_links"] for r in got if r["doc_id"] is None] == [0]
+
+
 def test_jaccard_odd(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
     want = components_by_force(rows, 90, 3)
