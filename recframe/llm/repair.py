@@ -13,7 +13,8 @@ Rules never cross a document's end, so a document is decoded from its own
 symbols and the rules alone; the expansion lengths give the place of any id
 without expanding what stands before it. Each round counts all neighbouring
 pairs of the shard and replaces every frequent one at once by new symbols; in a
-run of overlapping occurrences every second is replaced.
+run of overlapping occurrences every second is replaced. Rounds go on until no
+pair inside a document is frequent; symbols are 32 bits wide where 16 run out.
 
 Defined results: null and empty texts hold the end id alone; rows with equal
 doc_id stand next to each other, and rows with a null doc_id first; other columns
@@ -89,24 +90,22 @@ def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int = 3, share: float = 0.4) -> tuple[Grammar, np.ndarray]:
+def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds: int | None = None) -> tuple[Grammar, np.ndarray]:
     """The grammar of one shard. ``doc``: the document of each id, ascending. Returns also the document of each symbol.
 
-    ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement;
-    ``share``: of the symbols that 16 bits leave free, what a round may give to its most frequent pairs.
+    ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement, None: until no
+    pair inside a document is frequent.
     """
-    symbols, rules, lengths, next_symbol = ids.astype(np.int64), [], [np.zeros(0, np.int64)], base
-    bits = 17
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    symbols, rules, lengths, next_symbol = ids.astype(np.uint64), [], [np.zeros(0, np.int64)], base
+    bits = 20
+    done = 0
+    while len(symbols) > 1 and done != rounds:
+        done += 1
         inside = doc[1:] == doc[:-1]
-        pair = symbols[:-1] << 20 | symbols[1:]
-        bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        room = max(256, int(share * ((1 << 16) - next_symbol)))
-        counts = np.bincount(bucket[inside], minlength=1 << bits)
-        # no pair in a light bucket is frequent enough: the room goes to the most frequent ones
-        heavy = counts >= max(least, int(np.partition(counts, -2 * room)[-2 * room]))
+        pair = symbols[:-1] << np.uint64(32) | symbols[1:]
+        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
+        # no pair in a light bucket is frequent enough
+        heavy = np.bincount(bucket[inside], minlength=1 << bits) >= least
         at = np.flatnonzero(inside & heavy[bucket])
         found, back, n = np.unique(pair[at], return_inverse=True, return_counts=True)
         often = n >= least
@@ -125,22 +124,23 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         at_run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
         at, back = at[at_run % 2 == 0], back[at_run % 2 == 0]
         n = np.bincount(back, minlength=len(found))
-        used = n >= max(2, least // 2, int(np.partition(n, -room)[-room]) + 1 if len(n) > room else 0)
+        # Half of the most frequent pairs' occurrences stand here at least, so one of them is used, from ``least`` 4 on.
+        used = n >= max(2, least // 2)
+        if not used.any():
+            break
         code = np.cumsum(used) - 1
         at, back = at[used[back]], back[used[back]]
-        if len(at) < len(symbols) // 200 or next_symbol + int(used.sum()) >= 1 << 20:
-            break
-        new = np.stack((found[used] >> 20, found[used] & ((1 << 20) - 1)), 1)
+        new = np.stack((found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.int64)
         known = np.concatenate(lengths)
         size = np.where(new < base, 1, known[np.where(new < base, 0, new - base)] if len(known) else 1).sum(1)
         rules.append(new)
         lengths.append(size)
-        symbols[at] = next_symbol + code[back]
+        symbols[at] = (next_symbol + code[back]).astype(np.uint64)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, doc = symbols[stay], doc[stay]
         next_symbol += len(new)
-    return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols), doc
+    return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols.astype(np.int64)), doc
 
 
 def shard_ids(docs: DataFrame, kind: str = "byte", end_id: int = 0, shard: int = 1 << 20, vocabulary: str | None = None) -> DataFrame:

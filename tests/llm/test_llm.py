@@ -142,6 +142,19 @@ def test_grammar_random_access(n):
     assert g.sizes(g.symbols).sum() == len(ids)
 
 
+def test_grammar_goes_on_to_the_last_frequent_pair():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 60_000, 512)
+    parts = [np.concatenate((rng.integers(0, 60_000, 50), passage)) for _ in range(8)]
+    parts += [rng.permutation(np.repeat(np.arange(800), 60)) for _ in range(12)]  # more pairs than 16 bits have room for
+    parts += [np.full(1000, 7)]
+    ids, doc = np.concatenate(parts).astype(np.uint32), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    g, where = repair.compress(ids, doc, 65_000)
+    pairs = Counter(zip(g.symbols[:-1][where[1:] == where[:-1]].tolist(), g.symbols[1:][where[1:] == where[:-1]].tolist(), strict=True))
+    assert max(pairs.values()) < 6 and g.lengths.max() >= 256 and 65_000 + len(g.rules) > 1 << 16
+    assert (g.expand(g.symbols, g.expansions()) == ids).all()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, duck, name):
     cursor = duck.execute(queries.ORACLE_SQL[name])
