@@ -707,6 +707,13 @@ def category_counts_dense(spark, d):
     return profile.frequencies(table(spark, d, "events").select(F.col("user_id").alias("id")).filter("id < 200"), 200)
 
 
+@query("SELECT n.id, count(user_id) AS freq FROM (SELECT CAST(unnest(generate_series(0, (SELECT max(user_id) FROM events))) AS BIGINT) AS id) n LEFT JOIN events ON user_id = n.id GROUP BY n.id")
+def category_counts_all(spark, d):
+    ids = table(spark, d, "events").select(F.col("user_id").alias("id"))
+    top = ids.agg(F.max("id")).first()[0]
+    return profile.frequencies(ids, 0 if top is None else top + 1)
+
+
 @query(f"WITH {_CELLS}, n AS (SELECT id, log10(sqrt(sum(x * x)) * (1 + id % 10)) AS l FROM e GROUP BY id) SELECT CAST(CASE WHEN l < -0.5 THEN 0 WHEN l >= 1.5 THEN 51 ELSE floor((l + 0.5) / 2.0 * 50) + 1 END AS BIGINT) AS bin, count(*) AS n FROM n GROUP BY 1")
 def norm_histogram(spark, d):
     v = _vectors(spark, d).select("id", F.transform("vec", lambda x: x * (1 + F.col("id") % 10)).alias("vec"))

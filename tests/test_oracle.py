@@ -43,3 +43,10 @@ def test_query(spark, duck, name):
     order = sorted(columns)
     want = sorted((tuple(plain(r[columns.index(c)]) for c in order) for r in cursor.fetchall()), key=repr)
     assert sorted((tuple(plain(r[c]) for c in order) for r in got.collect()), key=repr) == want
+
+
+def test_category_counts_lose_no_event(spark):
+    data = DATA.replace("sf0.001", "sf0.1")  # ids beyond the 200 of category_counts_dense
+    got = queries.QUERIES["category_counts_all"](spark, data).collect()
+    assert sum(r["freq"] for r in got) == spark.read.parquet(f"{data}/events.parquet").count()
+    assert sorted(r["id"] for r in got) == list(range(len(got)))
