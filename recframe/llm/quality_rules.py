@@ -17,8 +17,13 @@ language makes no difference, as documents are assessed one by one.
 
 Defined results: a null text counts as empty, has no words and fails the base
 rules; a null language is one without a list; repeated rows are assessed one by
-one; other columns pass through ``assess`` untouched unless they are named as one
-of its results, which replaces them; an empty table gives an empty table.
+one; other columns pass through ``assess`` untouched, whatever their names, unless
+they are named as one of its results, which replaces them, and ``keep`` returns all
+of them; texts of any length are judged whole; an empty table gives an empty table.
+
+The input row travels as one struct, so no name of its columns meets one of ours, and
+the results leave as one generated row: a filter on them stays above the generator
+instead of being pushed down with all that they are made of written out again.
 """
 
 from __future__ import annotations
@@ -28,87 +33,92 @@ from pyspark.sql import functions as F
 
 #: The commonest words of each language.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "as", "be", "by"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
 }
 REST = ""
 SPACE = r"[\x20\x09-\x0D]+"
 #: Character classes, taken out one after another; what is left is the last class.
 CLASSES = [r"\p{Ll}+", r"\p{Lu}+", r"[0-9]+", SPACE, r"[.,;:!?'\"()-]+"]
+SPACED = r"[^\x20\x09-\x0D]"
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
 
 
-def _language() -> Column:
-    return F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(REST)
-
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, text, lang, words): the input row, its text and listed language ('' for any other), and the text's words."""
+    lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise(REST) if "lang" in docs.columns else F.lit(REST)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
+    return rows.withColumn("words", F.array_remove(F.split("text", SPACE), ""))
 
-def _with_words(docs: DataFrame) -> DataFrame:
-    """Adds _text, _lang and _words."""
-    docs = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumn("_lang", _language() if "lang" in docs.columns else F.lit(REST))
-    return docs.withColumn("_words", F.array_remove(F.split("_text", SPACE), ""))
 
-
-def _with_histograms(docs: DataFrame) -> DataFrame:
-    """Adds _classes (array of counts by class) and _common (counts of the language's common words, then of all others)."""
-    left, sizes = "_text", [F.length("_text")]
+def _with_histograms(rows: DataFrame) -> DataFrame:
+    """Adds classes (array of counts by class) and common (counts of the language's common words, then of all others)."""
+    left, sizes = "text", [F.length("text")]
     for k, pattern in enumerate(CLASSES):
-        docs = docs.withColumn(f"_left{k}", F.regexp_replace(left, pattern, ""))
-        left = f"_left{k}"
+        rows = rows.withColumn(f"left{k}", F.regexp_replace(left, pattern, ""))
+        left = f"left{k}"
         sizes.append(F.length(left))
     every = sorted({w for words in COMMON_WORDS.values() for w in words})
-    docs = docs.withColumn("_classes", F.array(*[a - b for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1]))
-    docs = docs.drop(*[f"_left{k}" for k in range(len(CLASSES))])
-    docs = docs.withColumn("_hits", F.concat(F.lit("<"), F.array_join(F.filter("_words", lambda w: w.isin(*every)), "><"), F.lit(">")))
+    rows = rows.withColumn("classes", F.array(*[a - b for a, b in zip(sizes, sizes[1:], strict=False)], sizes[-1]))
+    rows = rows.drop(*[f"left{k}" for k in range(len(CLASSES))])
+    rows = rows.withColumn("hits", F.concat(F.lit("<"), F.array_join(F.filter("words", lambda w: w.isin(*every)), "><"), F.lit(">")))
     lists = F.create_map(*[x for lang, words in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, words)))])
-    docs = docs.withColumn("_list", F.coalesce(lists[F.col("_lang")], F.array().cast("array<string>")))
-    docs = docs.withColumn("_counts", F.transform("_list", lambda w: ((F.length("_hits") - F.length(F.replace(F.col("_hits"), F.concat(F.lit("<"), w, F.lit(">")), F.lit("")))) / (F.length(w) + 2)).cast("int")))
-    total = F.aggregate("_counts", F.lit(0), lambda a, x: a + x)
-    return docs.withColumn("_common", F.concat("_counts", F.array(F.size("_words") - total))).drop("_hits", "_list", "_counts")
+    rows = rows.withColumn("list", F.coalesce(lists[F.col("lang")], F.array().cast("array<string>")))
+    rows = rows.withColumn("counts", F.transform("list", lambda w: ((F.length("hits") - F.length(F.replace(F.col("hits"), F.concat(F.lit("<"), w, F.lit(">")), F.lit("")))) / (F.length(w) + 2)).cast("int")))
+    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+    return rows.withColumn("common", F.concat("counts", F.array(F.size("words") - total))).drop("hits", "list", "counts")
 
 
-def _with_counts(docs: DataFrame) -> DataFrame:
+def _with_counts(rows: DataFrame) -> DataFrame:
     """Adds the base counts and base_failed.
 
     Windows of three words are told apart by a 64-bit hash, of which the low bits make way for the window's place,
-    sorted as plain numbers; neighbours with equal hashes count only if their words are equal.
+    sorted as plain numbers. A window is repeated if one beside it has its hash and its words; only if the hash is the
+    same and the words aren't, all windows of the text are asked.
     """
-    n = F.size("_words")
-    docs = (
-        docs.withColumn("n_words", n.cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_bits", F.length(F.bin(n)))
+    n = F.size("words")
+    rows = (
+        rows.withColumn("n_words", n.cast("long"))
+        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
+        .withColumn("n_symbols", F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long"))
+        .withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACED)))
+        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+        .withColumn("bits", F.length(F.bin(n)))
     )
 
     def packed(i: Column) -> Column:
-        h = F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
-        return F.call_function("shiftleft", F.call_function("shiftright", h, F.col("_bits")), F.col("_bits")).bitwiseOR(i.cast("long"))
+        h = F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+        return F.call_function("shiftleft", F.call_function("shiftright", h, F.col("bits")), F.col("bits")).bitwiseOR(i.cast("long"))
 
     none = F.array().cast("array<bigint>")
-    docs = docs.withColumn("_windows", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), packed))).otherwise(none))
+    rows = rows.withColumn("windows", F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), packed))).otherwise(none))
 
     def place(k: Column) -> Column:
-        return F.get("_windows", k).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bits")) - 1).cast("int")
+        return F.get("windows", k).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int")
+
+    def alike(j: Column, k: Column) -> Column:
+        hashes = [F.call_function("shiftright", F.get("windows", x), F.col("bits")) for x in (j, k)]
+        return F.coalesce(hashes[0] == hashes[1], F.lit(False))
 
-    def same(k: Column) -> Column:
-        alike = F.call_function("shiftright", F.get("_windows", k), F.col("_bits")) == F.call_function("shiftright", F.get("_windows", k - 1), F.col("_bits"))
-        a, b = place(k), place(k - 1)
-        equal = (F.get("_words", a) == F.get("_words", b)) & (F.get("_words", a + 1) == F.get("_words", b + 1)) & (F.get("_words", a + 2) == F.get("_words", b + 2))
-        return alike & equal
+    def equal(j: Column, k: Column) -> Column:
+        a, b = place(j), place(k)
+        return (F.get("words", a) == F.get("words", b)) & (F.get("words", a + 1) == F.get("words", b + 1)) & (F.get("words", a + 2) == F.get("words", b + 2))
 
-    m = F.size("_windows")
-    docs = docs.withColumn("_again", F.when(m >= 2, F.filter(F.sequence(F.lit(1), m - 1), same)).otherwise(F.array().cast("array<int>")))
-    docs = docs.withColumn("_starts", F.sort_array(F.array_distinct(F.concat(F.transform("_again", place), F.transform("_again", lambda k: place(k - 1))))))
-    s = F.size("_starts")
-    steps = F.aggregate(F.sequence(F.lit(1), s - 1), F.lit(3), lambda a, k: a + F.least(F.lit(3), F.get("_starts", k) - F.get("_starts", k - 1)))
-    docs = docs.withColumn("n_repeat_words", F.when(s == 0, 0).when(s == 1, 3).otherwise(steps).cast("long"))
-    docs = docs.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return docs.drop("_lines", "_bits", "_windows", "_again", "_starts")
+    m = F.size("windows")
+
+    def again(k: Column) -> Column:
+        anywhere = F.exists(F.sequence(F.lit(0), m - 1), lambda j: (j != k) & alike(j, k) & equal(j, k))
+        return F.when(alike(k - 1, k) & equal(k - 1, k), True).when(alike(k + 1, k) & equal(k + 1, k), True).when(alike(k - 1, k) | alike(k + 1, k), anywhere).otherwise(False)
+
+    repeated = F.when(m >= 2, F.transform(F.filter(F.sequence(F.lit(0), m - 1), again), place)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("starts", F.sort_array(repeated))
+    s = F.size("starts")
+    steps = F.aggregate(F.sequence(F.lit(1), s - 1), F.lit(3), lambda a, k: a + F.least(F.lit(3), F.get("starts", k) - F.get("starts", k - 1)))
+    rows = rows.withColumn("n_repeat_words", F.when(s == 0, 0).when(s == 1, 3).otherwise(steps).cast("long"))
+    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return rows.drop("lines", "bits", "windows", "starts")
 
 
 def _shares(counts: str) -> Column:
@@ -117,20 +127,21 @@ def _shares(counts: str) -> Column:
 
 
 def references(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(_lang, _class_reference, _word_reference): at most one row for each listed language and one for the rest.
+    """(lang, class_reference, word_reference): at most one row for each listed language and one for the rest.
 
-    The mean of the shares of all documents of ``min_words`` words at least; a language that no document is in has no row.
+    The mean of the shares of all documents of ``min_words`` words at least; a language that no document is in has no
+    row. One pass adds up the shares by language; the rest's reference is made of all languages' sums.
     """
-    found = _with_histograms(_with_words(docs)).filter(F.size("_words") >= min_words).select("_lang", _shares("_classes").alias("c"), _shares("_common").alias("w"))
+    rows = _rows(docs)
+    rows = _with_histograms(rows.select("lang", F.explode(F.array(F.struct("text", "words"))).alias("x")).select("lang", "x.*").filter(F.size("words") >= min_words))
     classes, words = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 1
-    means = found.groupBy("_lang").agg(*[F.avg(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(classes)], *[F.avg(F.get("w", F.lit(k))).alias(f"w{k}") for k in range(words)])
-    pooled = found.agg(*[F.avg(F.get("c", F.lit(k))).alias(f"c{k}") for k in range(classes)])
-    schema = "_lang string, _class_reference array<double>, _word_reference array<double>"
-    rows = [(r["_lang"], [r[f"c{k}"] for k in range(classes)], [r[f"w{k}"] for k in range(words) if r[f"w{k}"] is not None]) for r in means.filter(F.col("_lang") != REST).collect()]
-    rest = pooled.collect()[0]
-    if rest["c0"] is not None:
-        rows.append((REST, [rest[f"c{k}"] for k in range(classes)], []))
-    return docs.sparkSession.createDataFrame(rows, schema)
+    shares = rows.select("lang", _shares("classes").alias("c"), _shares("common").alias("w"))
+    sums = [F.sum(F.get(name, F.lit(k))).alias(f"{name}{k}") for name, size in (("c", classes), ("w", words)) for k in range(size)]
+    found = {r["lang"]: r for r in shares.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *sums).collect()}
+    out = [(lang, [r[f"c{k}"] / r["n"] for k in range(classes)], [r[f"w{k}"] / r["n"] for k in range(words)]) for lang, r in found.items() if lang != REST]
+    if total := sum(r["n"] for r in found.values()):
+        out.append((REST, [sum(r[f"c{k}"] for r in found.values()) / total for k in range(classes)], []))
+    return docs.sparkSession.createDataFrame(out, "lang string, class_reference array<double>, word_reference array<double>")
 
 
 def distance(shares: Column, reference: Column) -> Column:
@@ -143,31 +154,32 @@ def distance(shares: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def _judged(docs: DataFrame, min_words: int, class_limit: float, word_limit: float, slack: float, found: DataFrame | None) -> DataFrame:
+    """(row, METRICS): the input row as a struct and the results."""
+    found = references(docs, min_words) if found is None else found
+    full = _with_histograms(_with_counts(_rows(docs))).join(F.broadcast(found), "lang", "left")  # five rows
+    tested = (F.col("n_words") >= min_words) & F.col("class_reference").isNotNull()
+    full = full.withColumn("class_distance", F.when(tested, distance(_shares("classes"), F.col("class_reference"))))
+    full = full.withColumn("word_distance", F.when(tested & (F.size("word_reference") > 0), distance(_shares("common"), F.col("word_reference"))))
+    extra = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    diverges = (F.coalesce("class_distance", F.lit(0.0)) > class_limit + extra / 4) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit + extra)
+    return full.withColumn("kept", ~F.col("base_failed") & ~diverges).select("row", F.inline(F.array(F.struct(*METRICS))))
+
+
 def assess(docs: DataFrame, min_words: int = 50, class_limit: float = 0.15, word_limit: float = 0.15, slack: float = 1.0, found: DataFrame | None = None) -> DataFrame:
     """``docs`` (text, and lang if there is one) with the columns METRICS.
 
     ``slack``: over the square root of the number of words, what is added to a limit (a quarter of it for characters).
     ``found``: references of another corpus, instead of those of ``docs``.
     """
-    found = references(docs, min_words) if found is None else found
-    names = [c for c in docs.columns if c not in METRICS]
-    full = _with_histograms(_with_counts(_with_words(docs))).join(F.broadcast(found), "_lang", "left")
-    tested = (F.col("n_words") >= min_words) & F.col("_class_reference").isNotNull()
-    full = full.withColumn("class_distance", F.when(tested, distance(_shares("_classes"), F.col("_class_reference"))))
-    full = full.withColumn("word_distance", F.when(tested & (F.size("_word_reference") > 0), distance(_shares("_common"), F.col("_word_reference"))))
-    extra = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
-    diverges = (F.coalesce("class_distance", F.lit(0.0)) > class_limit + extra / 4) | (F.coalesce("word_distance", F.lit(0.0)) > word_limit + extra)
-    return full.withColumn("kept", ~F.col("base_failed") & ~diverges).select(*names, *METRICS)
+    out = _judged(docs, min_words, class_limit, word_limit, slack, found)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in METRICS], *METRICS)
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the rules keep.
-
-    A row number, which Spark can't move a filter through, holds the verdict together: pushed below the projections it
-    would be written out, with all that it is made of, many times over.
-    """
-    judged = assess(docs, **options).withColumn("_at", F.monotonically_increasing_id())
-    return judged.filter(F.col("kept") & (F.col("_at") >= 0)).select(*[c for c in docs.columns if c not in METRICS])
+def keep(docs: DataFrame, min_words: int = 50, class_limit: float = 0.15, word_limit: float = 0.15, slack: float = 1.0, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    out = _judged(docs, min_words, class_limit, word_limit, slack, found)
+    return out.filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _sql() -> str:

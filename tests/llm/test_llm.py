@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -222,6 +223,29 @@ def test_quality_rules_follow_labels(spark, documents):
     assert not any(r["kept"] for r in rows if r["quality"] == 0 and r["n_words"] > 100)
 
 
+@pytest.mark.parametrize("column", quality_rules.METRICS)
+def test_quality_rules_filter_on_a_result(spark, documents, column):
+    began = time.time()
+    out = quality_rules.assess(documents)
+    rows = out.collect()
+    flag = out.schema[column].dataType.typeName() == "boolean"
+    got = out.filter(F.col(column) if flag else F.col(column) > 0).count()
+    assert got == sum(bool(r[column]) if flag else (r[column] or 0) > 0 for r in rows)
+    assert time.time() - began < 60
+
+
+def test_quality_rules_clashing_names_and_long_texts(spark, documents):
+    names = ["row", "words", "lines", "_lines", "starts", "classes", "n_words", "kept", "a.b"]
+    clash = documents.withColumns({c: F.lit(7) for c in names})
+    assert quality_rules.assess(clash).columns == [*documents.columns, *[c for c in names if c not in quality_rules.METRICS], *quality_rules.METRICS]
+    back = quality_rules.keep(clash)
+    assert back.columns == clash.columns and {tuple(r)[-len(names) :] for r in back.collect()} == {(7,) * len(names)}
+    assert sorted(map(tuple, back.select("doc_id", "text").collect())) == sorted(map(tuple, quality_rules.keep(documents).select("doc_id", "text").collect()))
+    long = " ".join(f"w{k % 60_000}" for k in range(150_000))
+    r = quality_rules.assess(spark.createDataFrame([(1, long, "en"), (1, long, "en")], "doc_id bigint, text string, lang string")).collect()
+    assert [(x["n_words"], x["n_repeat_words"]) for x in r] == [(150_000, 150_000)] * 2
+
+
 @pytest.mark.parametrize(("name", "column"), [("op7_quality_classifier", "quality"), ("op9_toxicity", "toxic")])
 def test_held_out_accuracy(spark, name, column):
     d = "/root/testdata/sf0.1"
