@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recframe.operators.splits import number_rows
+
 
 def first_seen(rows: DataFrame, order: str, features: str = "feature", value: str = "raw") -> DataFrame:
     """(feature, raw, code): codes 0.. in order of first appearance by the unique column ``order``.
 
-    The aggregate keeps one row for each distinct value, so the window sees dictionaries, not the log. Partial
-    dictionaries merge by the same aggregate: ``first_seen`` of a union equals the union's.
+    The aggregate keeps one row for each distinct value, and those are numbered in ranges, so a feature of any size is
+    spread over many tasks. Partial dictionaries merge by the same aggregate: ``first_seen`` of a union equals the union's.
     """
-    seen = rows.groupBy(features, value).agg(F.min(order).alias("first_row"))
-    code = F.row_number().over(Window.partitionBy(features).orderBy("first_row")) - 1
-    return seen.select(F.col(features).alias("feature"), F.col(value).alias("raw"), code.cast("bigint").alias("code"))
+    seen = rows.groupBy(F.col(features).alias("feature"), F.col(value).alias("raw")).agg(F.min(order).alias("first_row"))
+    return number_rows(seen, "first_row", name="code", by=["feature"]).select("feature", "raw", "code")
 
 
 def merge_first_seen(parts: DataFrame) -> DataFrame:
@@ -32,8 +33,8 @@ def extend(known: DataFrame, rows: DataFrame, order: str) -> DataFrame:
 
 def sorted_codes(rows: DataFrame, features: str = "feature", value: str = "raw") -> DataFrame:
     """(feature, raw, code): codes by the order of the values."""
-    code = F.row_number().over(Window.partitionBy(features).orderBy(value)) - 1
-    return rows.select(features, value).distinct().select(F.col(features).alias("feature"), F.col(value).alias("raw"), code.cast("bigint").alias("code"))
+    values = rows.select(F.col(features).alias("feature"), F.col(value).alias("raw")).distinct()
+    return number_rows(values, "raw", name="code", by=["feature"])
 
 
 def encode(rows: DataFrame, codes: DataFrame, strict: bool = True) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recframe.functions.scalar import score_class
+from recframe.operators.splits import running
 
 
 def _term(x: Column) -> Column:
@@ -60,10 +61,9 @@ def _by_score(rows: DataFrame) -> DataFrame:
 def roc_auc(rows: DataFrame) -> DataFrame:
     """(auc): exact, ties count a half; NULL if there is one class only.
 
-    The running sum goes over distinct scores; scores that are all distinct can be rounded first to bound them.
+    The running sum goes over distinct scores, in ranges of them.
     """
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
-    run = _by_score(rows).withColumn("below", F.sum("neg").over(w) - F.col("neg"))
+    run = running(_by_score(rows), [F.col("p")], {"below": F.col("neg")}, own=False)
     sums = run.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     pairs = F.col("pos") * F.col("neg")
     return sums.select(F.when(pairs > 0, F.col("u") / F.nullif(pairs, F.lit(0))).alias("auc"))
@@ -71,8 +71,7 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
 def average_precision(rows: DataFrame) -> DataFrame:
     """(ap): the sum over falling distinct scores of the gain in recall times the precision."""
-    w = Window.orderBy(F.col("p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = _by_score(rows).withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
+    run = running(_by_score(rows), [-F.col("p")], {"tp": F.col("pos"), "fp": F.col("neg")})
     sums = run.agg(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("s"), F.sum("pos").alias("pos"))
     return sums.select(F.when(F.col("pos") > 0, F.col("s") / F.nullif(F.col("pos"), F.lit(0))).alias("ap"))
 

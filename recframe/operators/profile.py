@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recframe.operators.splits import running
+
+#: Ids that one row spans before it is spread to a row for each.
+SPAN = 1 << 16
+
 
 def access_counts(bags: DataFrame) -> DataFrame:
     """(feature, id, cnt): each occurrence counts, duplicates in a bag included."""
@@ -14,11 +19,10 @@ def access_counts(bags: DataFrame) -> DataFrame:
 def cumulative(profile: DataFrame) -> DataFrame:
     """The profile by falling count (ties by id), with the count up to each id and the feature's total.
 
-    The window sees a row for each distinct id; a feature with more ids than one task should sort can be given in ranges
-    of counts beforehand.
+    The counts are summed in ranges of (feature, count, id), so a feature of any number of ids is spread over many tasks.
     """
-    by_count = Window.partitionBy("feature").orderBy(F.col("cnt").desc(), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return profile.withColumn("cum", F.sum("cnt").over(by_count)).withColumn("total", F.sum("cnt").over(Window.partitionBy("feature")))
+    run = running(profile, [-F.col("cnt"), F.col("id")], {"cum": F.col("cnt")}, ["feature"])
+    return run.join(run.groupBy("feature").agg(F.max("cum").alias("total")), "feature")
 
 
 def hot_ids(profile: DataFrame, percent: float) -> DataFrame:
@@ -33,12 +37,13 @@ def coverage(profile: DataFrame, percent: float) -> DataFrame:
 
 def remap(profile: DataFrame, sizes: DataFrame, percent: float) -> DataFrame:
     """(feature, id, is_hot, new_id) for every id below the feature's size (feature, n): hot and cold ids are each numbered
-    by ascending id; ids without access are cold."""
-    every = sizes.select("feature", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("id"))
+    by ascending id; ids without access are cold. Ids are spread in spans of SPAN, never as one array of a whole table."""
+    spans = sizes.filter("n > 0").select("feature", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(SPAN).cast("bigint"))).alias("lo"))
+    every = spans.repartition("feature", "lo").select("feature", F.explode(F.sequence("lo", F.least(F.col("lo") + SPAN, F.col("n")) - 1)).alias("id"))
     hot = hot_ids(profile, percent).select("feature", "id", F.lit(True).alias("is_hot"))
     marked = every.join(hot, ["feature", "id"], "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False)))
-    new = F.row_number().over(Window.partitionBy("feature", "is_hot").orderBy("id")) - 1
-    return marked.withColumn("new_id", new.cast("bigint"))
+    run = running(marked, [F.col("id")], {"below": F.col("is_hot").cast("bigint")}, ["feature"], own=False)
+    return run.select(*marked.columns, F.when(F.col("is_hot"), F.col("below")).otherwise(F.col("id") - F.col("below")).alias("new_id"))
 
 
 def bag_offsets(batches: DataFrame) -> DataFrame:

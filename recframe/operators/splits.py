@@ -5,18 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recframe.session import stored
 
-def number_rows(rows: DataFrame, *order: str, name: str = "row_id") -> DataFrame:
-    """Consecutive numbers from 0 in the given order, without a window over all rows.
 
-    Rows are ranged and sorted, numbered within each partition, and shifted by the sizes of the partitions before,
-    of which there is one row for each partition.
+def running(rows: DataFrame, order: list[Column], values: dict[str, Column], by: list[str] | None = None, how: str = "sum", own: bool = True) -> DataFrame:
+    """``rows`` with the sum (``how``: or max) of each of ``values`` over all rows before in ``order``, and this one if
+    ``own``, as columns of their names.
+
+    ``by``: begin anew in each group of these columns. No window spans all rows or a whole group: rows are ranged by
+    (by, order), written once with the number of their range, and summed within their range; what the ranges before
+    add is taken from one row for each range and group, of which a hot group has as many as it has ranges. The ranged
+    rows are stored because a range shuffle that is planned twice may cut other ranges the second time. ``order``
+    should be unique within a group: rows that are equal in it come in any order.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    by, add = by or [], {"sum": F.sum, "max": F.max}[how]
+    names = {c: f"in{k}" for k, c in enumerate(rows.columns)}
+    places, group = [f"order{k}" for k in range(len(order))], ["part", *[names[c] for c in by]]
+    packed = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], *[c.alias(n) for c, n in zip(order, places, strict=True)], *[c.alias(f"value{k}") for k, c in enumerate(values.values())])
+    ranged = stored(packed.repartitionByRange(*group[1:], *places).withColumn("part", F.spark_partition_id()), "ranged")
+    some = range(len(values))
+    within = Window.partitionBy(*group).orderBy(*places).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    earlier = Window.partitionBy(*group[1:]).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*group).agg(*[add(f"value{k}").alias(f"whole{k}") for k in some])
+    carried = whole.select(*[F.col(c).alias(f"{c}_") for c in group], *[add(f"whole{k}").over(earlier).alias(f"carried{k}") for k in some])
+    same = F.col("part") == F.col("part_")
+    for c in group[1:]:
+        same &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    full = ranged.select("*", *[add(f"value{k}").over(within).alias(f"own{k}") for k in some]).join(carried, same)
+    both = [F.greatest(f"own{k}", f"carried{k}") if how == "max" else F.coalesce(f"own{k}", F.lit(0)) + F.coalesce(f"carried{k}", F.lit(0)) for k in some]
+    return full.select(*[F.col(n).alias(c) for c, n in names.items() if c not in values], *[x.alias(c) for c, x in zip(values, both, strict=True)])
+
+
+def number_rows(rows: DataFrame, *order: str, name: str = "row_id", by: list[str] | None = None) -> DataFrame:
+    """Consecutive numbers from 0 in the given order, of all rows or in each group of ``by``."""
+    return running(rows, [F.col(c) for c in order], {name: F.lit(1).cast("bigint")}, by, own=False)
 
 
 def chunk_of(row: Column, total: Column, chunks: int) -> Column:
@@ -94,7 +116,7 @@ def shuffled(rows: DataFrame, key: str, seed: str, day: str = "day") -> DataFram
     spans = sizes.select(F.col(day).alias("_day"), (F.sum("_n").over(w) - F.col("_n")).alias("_from"), F.sum("_n").over(w).alias("_to"))
     last = sizes.agg(F.max(day).alias("_last"))
     tagged = rows.crossJoin(F.broadcast(last)).withColumn("_tail", F.col(day) == F.col("_last")).withColumn("_tag", tag)
-    placed = number_rows(tagged, "_tail", "_tag", name="_place")
+    placed = number_rows(tagged, "_tail", "_tag", key, name="_place")
     # one row for each day: a small table whatever the log's size
     dealt = placed.join(F.broadcast(spans), (F.col("_place") >= F.col("_from")) & (F.col("_place") < F.col("_to")))
     return dealt.withColumn(day, F.col("_day")).withColumn("position", F.col("_place") - F.col("_from")).drop("_day", "_from", "_to", "_last", "_tail", "_tag", "_place")

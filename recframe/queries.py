@@ -858,6 +858,10 @@ def stream_tumbling(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    "WITH t AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM t) "
+    "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS \"end\", count(*) AS n FROM s GROUP BY user_id, k"
+)
 def stream_sessions(spark, d):
-    return streams.drain(streams.sessions(streams.events_stream(spark, d, "events.parquet")), f"sessions_{uuid.uuid4().hex}", "append")
+    out = streams.drain(streams.sessions(streams.events_stream(spark, d, "events.parquet")), f"sessions_{uuid.uuid4().hex}", "complete")
+    return out.select("user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("start", "end")], "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recframe.session import shared_dir
+
 
 def events_stream(spark: SparkSession, folder: str, name: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
     """The files of a folder whose names match, as a stream; new files are taken up as they appear."""
@@ -31,8 +33,23 @@ def sessions(stream: DataFrame, ts: str = "ts", gap: str = "30 minutes", late: s
     return s.select(key, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and gives the result: for tests and bounded inputs, in memory."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there and gives the result, written to the folder that all executors share.
+
+    Append mode gives what the watermark has closed; complete mode also what is still open at the end, such as the last
+    session of each key: each micro-batch writes the whole result and the last one's is read.
+    """
+    base = f"{shared_dir(stream.sparkSession)}/{name}"
+    writer = stream.writeStream.option("checkpointLocation", f"{base}-progress").trigger(availableNow=True)
+    if mode == "append":
+        writer.outputMode(mode).format("parquet").start(base).awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(base)
+    last: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/{batch}")  # a batch that is run again replaces its own files
+        last.append(batch)
+
+    writer.outputMode(mode).foreachBatch(write).start().awaitTermination()
+    read = stream.sparkSession.read.schema(stream.schema)
+    return read.parquet(f"{base}/{max(last)}") if last else stream.sparkSession.createDataFrame([], stream.schema)
