@@ -1,63 +1,103 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share lines are found through a line's earliest holder: a line that is rare (in at most ``rare``
-documents) or long enough to be deleted by itself pairs each later document with the earliest one that holds it, and
-so does every two lines that follow each other. A frequent short line alone pairs nothing; a block that it belongs to
-has a pair of lines. So the pairs are linear in the lines, however large a group of copies is, and no count is capped.
-
-Each pair is aligned by patience diff over the whole line sequences: equal lines at both ends, then the lines that
-are unique in both, in their longest increasing order, and again between them. Aligned runs of ``min_words`` words or
-more are deleted from the later document (the larger doc_id). The earliest holder of a line never loses it, so every
-line stays somewhere.
-
-Lines are compared without the white space around them, by 64-bit hashes. Defined results: null texts count as empty
-and stay null; lines without words are never deleted; rows with equal doc_id and equal text lose the same lines, and
-rows with equal doc_id are no pair; rows with a null doc_id are left alone; other columns pass through, those named
-like a result are replaced; an empty table gives an empty table.
+Documents that overlap are found through hashes of their lines: a line of ``min_words`` words or more is a key by itself;
+a shorter one is keyed with the lines after it, or before it, as far as they are needed to have so many words together
+(lines without words don't count). Such a passage is at most as frequent as the rarest of its lines. Every aligned block
+that is long enough to be deleted is made of such passages: each of its lines is in one that lies within the block. So
+the earliest holder of each passage is all that the later ones have to meet: a line lies in a block that is shared with
+any earlier document exactly if one of its passages has an earlier holder. Pairs are linear in the lines, however large a
+group of copies is, with no limit on how frequent a line may be.
+
+Each later document is aligned with each of those earlier ones by patience diff over the lines that their shared passages
+cover: equal lines at both ends, then the lines that are unique in both, in their longest increasing order, and again
+between them. Aligned runs of ``min_words`` words or more are blocks. Passages that the diff leaves over, as they cross
+the others' order or are repeated, are aligned again by themselves. Blocks are deleted from the later document (the
+larger doc_id). The earliest holder of a line never loses it, so every line stays somewhere.
+
+Lines are compared without the white space around them, by 128-bit digests (BLAKE2). A passage that a third of all
+documents share is no hot key: at most HOT passages can have a HOT-th of all rows each, and those are looked up by
+broadcast. Defined results: null texts count as empty and stay null; lines without words are never deleted; rows with equal
+doc_id and equal text lose the same lines, and rows with equal doc_id are no pair; rows with a null doc_id are left alone;
+other columns pass through whatever their names, those named like a result are replaced; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, slices, span_hashes, stored, texts
+from .common import cut, dropped, slices, stored, texts
 
-_LINES = "doc_id long, digest long, hashes array<long>, words array<int>"
+#: Passages with more than this share (one in HOT) of all rows are looked up by broadcast: there can't be more than HOT.
+HOT = 1024
+_LINES = "doc_id long, copy long, tokens array<long>, words array<int>, places array<int>, keys array<struct<k1:long,k2:long,at:array<int>,n:int>>"
+BLOCKS = "doc_id long, copy long, early long, early_line int, line int, n int"
 
 
-def line_hashes(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each line, its number of words, number of lines of each row); a line without words has hash 0."""
-    data = np.frombuffer(b"\n".join(rows) + b"\n", np.uint8)
-    gap = _SPACE[data]
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    ends = np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1])))
-    bounds = np.flatnonzero(data == 10)
-    upto = np.searchsorted(starts, bounds)
-    n = np.diff(upto, prepend=0)
-    has = n > 0
-    out = np.zeros(len(bounds), np.uint64)
-    out[has] = span_hashes(data, starts[(upto - n)[has]], ends[(upto - 1)[has]])
-    out[has & (out == 0)] = 1
-    last = np.cumsum([len(r) + 1 for r in rows]) - 1
-    return out, n, np.diff(np.searchsorted(bounds, last, side="right"), prepend=0)
+def passages(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(from, to) of the shortest runs of lines that begin, or end, at each line and have ``min_words`` words."""
+    out: dict[tuple[int, int], None] = {}
+    upto, total = 0, 0
+    for k, n in enumerate(words):  # from line k on
+        while upto < len(words) and total < min_words:
+            total += words[upto]
+            upto += 1
+        if total < min_words:
+            break
+        out[k, upto] = None
+        total -= n
+    lo, total = 0, 0
+    for k, n in enumerate(words):  # up to line k
+        total += n
+        while total - words[lo] >= min_words:
+            total -= words[lo]
+            lo += 1
+        if total >= min_words:
+            out[lo, k + 1] = None
+    return list(out)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi in slices(batch.column(1)):
-            rows = texts(batch.column(1).slice(lo, hi - lo))
-            h, words, n = line_hashes(rows)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(words.astype(np.int32)))],
-                names=["doc_id", "digest", "hashes", "words"],
-            )
+def _lines(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in slices(batch.column(1)):
+                tokens, words, places, ends = [], [], [], [0]
+                key_ends, runs, run_ends, sizes, digests = [0], [], [0], [], []
+                for text in texts(batch.column(1).slice(lo, hi - lo)):
+                    own, counts = [], []
+                    for k, line in enumerate(text.split(b"\n")):
+                        if line := line.strip():
+                            own.append(blake2b(line, digest_size=16).digest())
+                            counts.append(len(line.split()))
+                            places.append(k)
+                    found: defaultdict[tuple[bytes, int], list[int]] = defaultdict(list)
+                    for a, b in passages(counts, min_words):
+                        found[own[a] if b == a + 1 else blake2b(b"".join(own[a:b]), digest_size=16).digest(), b - a].append(a)
+                    for (digest, n), at in found.items():
+                        digests.append(digest)
+                        sizes.append(n)
+                        runs += sorted(at)
+                        run_ends.append(len(runs))
+                    tokens += own
+                    words += counts
+                    ends.append(len(tokens))
+                    key_ends.append(len(sizes))
+                offsets, key_offsets = pa.array(ends, pa.int32()), pa.array(key_ends, pa.int32())
+                k = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                keys = pa.StructArray.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.ListArray.from_arrays(pa.array(run_ends, pa.int32()), pa.array(runs, pa.int32())), pa.array(sizes, pa.int32())], ["k1", "k2", "at", "n"])
+                first = np.frombuffer(b"".join(tokens), "<i8").reshape(-1, 2)[:, 0].copy()  # tells the lines of two documents apart for the diff
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((first, pa.int64()), (words, pa.int32()), (places, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *lists, pa.ListArray.from_arrays(key_offsets, keys)], names=["doc_id", "copy", "tokens", "words", "places", "keys"])
+
+    return run
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -109,74 +149,144 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(pairs: list[tuple[int, int]], words: list[int], min_words: int) -> list[int]:
-    """Lines j of the later document in aligned runs of ``min_words`` or more; lines without words don't break a run."""
-    out: list[int] = []
-    run: list[int] = []
-    size, at = 0, (-9, -9)
-
-    def blank(lo: int, hi: int) -> bool:
-        return not any(words[lo:hi])
-
+def blocks(pairs: list[tuple[int, int]], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(i, j, n): aligned runs of n lines, from line i of the earlier and line j of the later document, with enough words."""
+    out: list[tuple[int, int, int]] = []
+    begin, size, at = (0, 0), 0, (-9, -9)
     for i, j in [*pairs, (-1, -1)]:
-        if not (j > at[1] and i - at[0] == j - at[1] and (j == at[1] + 1 or blank(at[1] + 1, j))):
+        if (i, j) != (at[0] + 1, at[1] + 1):
             if size >= min_words:
-                out += run
-            run, size = [], 0
+                out.append((*begin, at[1] + 1 - begin[1]))
+            begin, size = (i, j), 0
         if j >= 0:
-            run.append(j)
             size += words[j]
         at = (i, j)
     return out
 
 
+def align(tokens: list[int], words: list[int], shared: list[dict], min_words: int) -> list[tuple[int, int, int, int]]:
+    """(early, i, j, n): the aligned blocks of one later document. ``shared``: its passages with their earliest holders,
+    (early, first: the line there, at: the lines here, n)."""
+    out = []
+    by_early = defaultdict(list)
+    for x in shared:
+        by_early[x["early"]].append((x["first"], x["at"], x["n"]))
+    for early in sorted(by_early):
+        there: dict[int, int] = {}
+        here: set[int] = set()
+        for first, at, n in by_early[early]:
+            there.update(zip(range(first, first + n), tokens[at[0] : at[0] + n], strict=True))
+            for j in at:
+                here.update(range(j, j + n))
+        a, b = sorted(there), sorted(here)
+        found = blocks([(a[i], b[j]) for i, j in patience([there[i] for i in a], [tokens[j] for j in b])], words, min_words)
+        gone = {k for _, j, n in found for k in range(j, j + n)}
+        left = sorted((j, first, n) for first, at, n in by_early[early] for j in at if not gone.issuperset(range(j, j + n)))
+        out += [(early, i, j, n) for i, j, n in found] + [(early, first, j, n) for j, first, n in left]
+    return out
+
+
 def _align(min_words: int):
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, digest, early, late, words in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if found := blocks(patience(early, late), words, min_words):
-                    out.append((doc_id, digest, found))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["doc_id", "digest", "gone"])
+            for k in range(batch.num_rows):
+                doc_id, copy, tokens, words, shared = (batch.column(c)[k].as_py() for c in range(5))
+                rows = [(doc_id, copy, *x) for x in align(tokens, words, shared, min_words)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-def overlapping(lines: DataFrame, min_words: int, rare: int) -> DataFrame:
-    """Pairs (early, doc_id): documents and the earliest holders of what they share."""
-    at = F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "x")
-    single = lines.select("doc_id", at).select("doc_id", F.col("x.hashes").alias("key"), (F.col("x.words") >= min_words).alias("long")).filter("key <> 0")
-    spoken = F.filter("hashes", lambda x: x != 0)
-    double = lines.select("doc_id", spoken.alias("s")).filter(F.size("s") > 1).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda k: F.xxhash64(F.get("s", k - 1), F.get("s", k)))).alias("key"))
-    keys = single.unionByName(double.withColumn("long", F.lit(True))).groupBy("key", "doc_id").agg(F.max("long").alias("long"))
-    keys = keys.repartition("key")
-    owners = keys.groupBy("key").agg(F.min("doc_id").alias("early"), F.max("doc_id").alias("late"), F.count(F.lit(1)).alias("n")).filter("early < late")
-    found = keys.join(owners, "key").filter((F.col("early") < F.col("doc_id")) & (F.col("long") | (F.col("n") <= rare)))
-    return found.select("early", "doc_id").distinct()
-
-
-def deletions(docs: DataFrame, min_words: int = 20, rare: int = 64) -> DataFrame:
-    """(doc_id, digest, gone): the lines, counted from 0, that each later document loses."""
-    lines = docs.select("doc_id", "text", F.xxhash64("text").alias("digest")).filter("doc_id is not null").mapInArrow(_lines, _LINES).filter(F.size("hashes") > 0)
-    lines = stored(lines, "line-hashes")
-    pairs = overlapping(lines, min_words, rare)
-    late = lines.groupBy("doc_id", "digest").agg(F.first("hashes").alias("late"), F.first("words").alias("words"))
-    early = lines.select(F.col("doc_id").alias("early"), F.col("hashes").alias("before"), "digest").groupBy("early", "digest").agg(F.first("before").alias("before")).drop("digest")
-    full = pairs.join(late, "doc_id").join(early, "early").select("doc_id", "digest", "before", "late", "words")
-    gone = full.mapInArrow(_align(min_words), "doc_id long, digest long, gone array<int>")
-    return gone.groupBy("doc_id", "digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = 20, rare: int = 64) -> DataFrame:
+def _shared(lines: DataFrame) -> DataFrame:
+    """(doc_id, copy, early, first, at, n): passages of documents with their earliest holders, where those are earlier."""
+    rows = lines.select("doc_id", "copy", F.explode("keys").alias("key")).select("doc_id", "copy", "key.*")
+    owners = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("early"), F.min_by(F.get("at", F.lit(0)), "doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("holders"))
+    owners = cut(owners.filter("early < last").drop("last"))
+    total = lines.agg(F.sum(F.size("keys"))).collect()[0][0] or 0
+    hot = F.col("holders") > total / HOT
+    often = F.broadcast(owners.filter(hot).select("k1", "k2", "early", "first"))  # fewer than HOT rows, by the count above
+    marked = rows.join(often, ["k1", "k2"], "left")
+    rest = marked.filter("early IS NULL").drop("early", "first").join(owners.filter(~hot).select("k1", "k2", "early", "first"), ["k1", "k2"])
+    found = marked.filter("early IS NOT NULL").unionByName(rest).filter("early < doc_id")
+    return found.select("doc_id", "copy", F.struct("early", "first", "at", "n").alias("shared"))
+
+
+def _blocks(lines: DataFrame, min_words: int) -> DataFrame:
+    shared = _shared(lines).groupBy("doc_id", "copy").agg(F.collect_set("shared").alias("shared"))  # at most the document's own passages
+    full = lines.select("doc_id", "copy", "tokens", "words").join(shared, ["doc_id", "copy"])
+    return full.select("doc_id", "copy", "tokens", "words", "shared").mapInArrow(_align(min_words), BLOCKS)
+
+
+def _prepared(docs: DataFrame, min_words: int) -> DataFrame:
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return stored(rows.mapInArrow(_lines(min_words), _LINES).filter(F.size("keys") > 0), "line-keys")
+
+
+def alignments(docs: DataFrame, min_words: int = 20) -> DataFrame:
+    """(doc_id, copy, early, early_line, line, n): the aligned blocks, from line ``line`` of the later and ``early_line`` of
+    the earlier document, both counted from 0 among the lines with words. ``copy``: xxhash64 of the text."""
+    return _blocks(_prepared(docs, min_words), min_words).distinct()
+
+
+def _marked(docs: DataFrame, min_words: int) -> DataFrame:
+    """(row, left, n_lines, n_removed): the input row as a struct and what is left of its text."""
+    lines = _prepared(docs, min_words)
+    spans = _blocks(lines, min_words).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("line", "n")).alias("spans"))
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["line"], x["line"] + x["n"] - 1)))))
+    gone = spans.join(lines.select("doc_id", "copy", "places"), ["doc_id", "copy"]).select("doc_id", "copy", F.transform(numbers, lambda k: F.get("places", k)).alias("gone"))
+    gone = cut(gone.dropDuplicates(["doc_id", "copy"]))
+    dropped(lines)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("copy"))
+    marked = rows.join(gone, ["doc_id", "copy"], "left")
+    split = F.split("text", "\n")
+    # The deleted lines stand in ascending order: what stays are the stretches between them.
+    edges = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size(split)))
+    stretch = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(split, F.get(edges, k - 1) + 2, F.get(edges, k) - F.get(edges, k - 1) - 1))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretch), "\n"))
+    n_lines = F.when(F.length("text") > 0, F.size(split)).otherwise(0).cast("long")
+    return marked.select("row", left.alias("left"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 20) -> DataFrame:
     """``docs`` with the deleted lines taken out of text, and the columns n_lines, n_removed (long)."""
-    gone = deletions(docs, min_words, rare)
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "gone")
-    marked = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_digest")), "left")
-    lines = F.split("text", "\n")
-    # The deleted lines stand in ascending order: what stays are the stretches between them.
-    edges = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size(lines)))
-    stretch = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(lines, F.get(edges, k - 1) + 2, F.get(edges, k) - F.get(edges, k - 1) - 1))
-    left = F.array_join(F.flatten(stretch), "\n")
-    marked = marked.withColumn("n_lines", F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-    return marked.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).select(*names, "n_lines", "n_removed")
+    return _marked(docs, min_words).select(*[F.col("left").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in names], "n_lines", "n_removed")
+
+
+def keep_rest(docs: DataFrame, min_words: int = 20, length: str = "n_chars") -> DataFrame:
+    """``docs`` with the deleted lines taken out, without the documents of which no word is left; a column ``length``, if there
+    is one, follows the text where it has changed. All columns of ``docs`` and no others."""
+    out = _marked(docs, min_words).filter((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+
+    def column(name: str):
+        old = F.col("row")[name]
+        if name == "text":
+            old = F.col("left")
+        elif name == length:
+            old = F.when(F.col("n_removed") > 0, F.length("left").cast(docs.schema[name].dataType)).otherwise(old)
+        return old.alias(name)
+
+    return out.select(*map(column, docs.columns))
+
+
+#: What is left of each document, in DuckDB: passages are lists of lines, and a line goes if one of its passages has an earlier holder.
+SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM t),
+s AS (SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^ 	-]+')) AS words FROM u),
+k AS (SELECT doc_id, pos, line, words, row_number() OVER w AS k, sum(words) OVER w AS upto FROM s WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+l AS (SELECT doc_id, list(line ORDER BY k) AS lines FROM k GROUP BY doc_id),
+p AS (SELECT a.doc_id, a.k AS lo, min(b.k) AS hi FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 19 AND b.upto - a.upto + a.words >= 20 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.k), b.k FROM k b JOIN k a ON a.doc_id = b.doc_id AND a.k BETWEEN b.k - 19 AND b.k AND b.upto - a.upto + a.words >= 20 GROUP BY b.doc_id, b.k),
+g AS (SELECT p.doc_id, lo, hi, list_slice(lines, lo, hi) AS passage FROM p JOIN l USING (doc_id)),
+o AS (SELECT passage, min(doc_id) AS early FROM g GROUP BY passage HAVING min(doc_id) < max(doc_id)),
+x AS (SELECT DISTINCT doc_id, unnest(generate_series(lo, hi)) AS k FROM g JOIN o USING (passage) WHERE early < doc_id),
+r AS (SELECT k.doc_id, k.pos FROM k JOIN x USING (doc_id, k)),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id),
+c AS (SELECT u.doc_id, string_agg(u.line, chr(10) ORDER BY u.pos) AS rest FROM u ANTI JOIN r ON u.doc_id = r.doc_id AND u.pos = r.pos GROUP BY u.doc_id),
+f AS (SELECT t.doc_id, CASE WHEN t.text = '' THEN 0 ELSE len(ls) END AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(CASE WHEN n_removed IS NULL THEN t.text ELSE rest END, '') AS rest FROM t LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, n_removed, CAST(length(rest) AS BIGINT) AS chars_left, sha256(rest) AS text_sha256 FROM f
+"""

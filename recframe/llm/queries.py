@@ -53,7 +53,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return left.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return left.select("doc_id", "n_lines", "n_removed", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -72,4 +72,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_topk": topk.SQL,
     "op5_warc": warc.SQL,
     "op6_quality_rules": quality_rules.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }

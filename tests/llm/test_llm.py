@@ -347,40 +347,84 @@ def test_jaccard_odd(spark, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
-def test_line_dedup(spark, documents):
-    texts = {r["doc_id"]: r["text"] or "" for r in documents.collect()}
-    lines = {i: [x.strip(" \t\n\r\x0b\x0c") for x in t.split("\n")] for i, t in texts.items()}
-    owner, count, code = {}, Counter(), {}
-    for i in sorted(lines):
-        s = [x for x in lines[i] if x]
-        for k in set(s) | set(zip(s, s[1:], strict=False)):
-            owner.setdefault(k, i)
-            count[k] += 1
-    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents).collect()}
-    for i in lines:
-        s = [x for x in lines[i] if x]
-        early = {owner[k] for k in set(s) | set(zip(s, s[1:], strict=False)) if owner[k] < i and (isinstance(k, tuple) or count[k] <= 64 or len(WORD.findall(k)) >= 20)}
-        b, words = [code.setdefault(x, len(code) + 1) if x else 0 for x in lines[i]], [len(WORD.findall(x)) for x in lines[i]]
-        gone = {j for e in early for j in line_dedup.blocks(line_dedup.patience([code.setdefault(x, len(code) + 1) if x else 0 for x in lines[e]], b), words, 20)}
-        assert out[i]["text"] == "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
-        assert out[i]["n_removed"] == len(gone)
+def without_copies(rows, min_words=20):
+    """Lines that go from each document: in a run of equal lines, blank ones left out, with any earlier document. All pairs."""
+    lines = {i: [(k, x.strip(" \t\n\r\x0b\x0c")) for k, x in enumerate((t or "").split("\n"))] for i, t in rows}
+    lines = {i: [(k, x, len(WORD.findall(x))) for k, x in s if x] for i, s in lines.items()}
+    gone = {i: set() for i in lines}
+    for d, b in lines.items():
+        for e, a in lines.items():
+            if e >= d:
+                continue
+            where = defaultdict(list)
+            for i, x in enumerate(a):
+                where[x[1]].append(i)
+            for j in range(len(b)):
+                for i in where[b[j][1]]:
+                    if i and j and a[i - 1][1] == b[j - 1][1]:
+                        continue  # not where a run begins
+                    n = 0
+                    while i + n < len(a) and j + n < len(b) and a[i + n][1] == b[j + n][1]:
+                        n += 1
+                    if sum(x[2] for x in b[j : j + n]) >= min_words:
+                        gone[d].update(x[0] for x in b[j : j + n])
+    return gone
+
+
+def check_lines(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    gone = without_copies(rows)
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    texts = dict(rows)
+    assert {i: r["n_removed"] for i, r in out.items()} == {i: len(g) for i, g in gone.items()}
+    for i, r in out.items():
+        assert (r["text"] or "") == "\n".join(x for k, x in enumerate((texts[i] or "").split("\n")) if k not in gone[i])
     # every line stays somewhere
-    left = {x.strip(" \t\n\r\x0b\x0c") for r in out.values() for x in (r["text"] or "").split("\n")}
-    assert {x for s in lines.values() for x in s if x} <= left
+    assert {x.strip() for t in texts.values() for x in (t or "").split("\n")} - {""} <= {x.strip() for r in out.values() for x in (r["text"] or "").split("\n")}
+    return gone
+
+
+def test_line_dedup(spark, documents):
+    check_lines(spark, [(r["doc_id"], r["text"]) for r in documents.collect()])
+
+
+def test_line_dedup_of_short_lines_and_moved_passages(spark):
+    a, b, c, d, e = ([f"{x}{k} {x} {x} {x} {x} {x}" for k in range(4)] for x in "abcde")
+    A, B, C, D = (f"{x} six words in this line" for x in "ABCD")
+    rows = [(1, [A, B]), (2, [B, C]), (3, [C, D]), (10, [A, B, C, D]), (11, [A, "", B, C, "  ", D]), (12, a + b + c), (13, c + ["x"] + a + ["y"] + b), (14, ["z", *d, *d, "q", *e]), (15, [*e, *d, *d, *d]), (16, [*d[:2], "w", *d[2:]]), (17, a[2:] + b[:2] + ["r"]), (18, None), (19, ""), (20, ["one word"] * 50), (21, ["one word"] * 60), (22, ["19 " + "w " * 18, "x", "y"]), (23, ["19 " + "w " * 18, "x", "y"])]
+    gone = check_lines(spark, [(i, t if t is None or t == "" else "\n".join(t)) for i, t in rows])
+    assert len(gone[11]) == 4 and len(gone[13]) == 12 and not gone[16] and len(gone[21]) == 60 and len(gone[23]) == 3
+    rng = np.random.default_rng(6)
+    lines = [" ".join(f"l{k}" for _ in range(rng.integers(1, 24))) for k in range(12)]
+    check_lines(spark, [(i, "\n".join(lines[k] for k in rng.integers(0, 12, rng.integers(0, 14)))) for i in range(60)])
+
+
+def test_line_dedup_hot_passage_and_repeated_rows(spark):
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(k, f"own line {k}\n{passage}", k % 3) for k in range(4000)] + [(7, f"own line 7\n{passage}", 0)] * 5 + [(None, passage, 0), (3, passage, 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, gone int").withColumns({"copy": F.lit(1), "row": F.lit(2), "a.b": F.lit(3)})
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_removed"] and out.count() == len(rows)
+    assert out.filter("n_removed = 1").count() == 3999 + 5 + 1  # of doc 0's passage all later ones; null ids are left alone
+    rest = line_dedup.keep_rest(df)
+    assert rest.columns == df.columns and rest.count() == len(rows) - 1 and rest.filter("gone = 9").count() == 0
 
 
 def test_line_dedup_odd(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_removed"]
     assert out.filter("text IS NULL").count() == 1
-    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(empty).count() == 0 and line_dedup.keep_rest(empty).columns == empty.columns
 
 
 def test_patience():
     assert line_dedup.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
     assert line_dedup.patience([5, 1, 2, 6], [1, 2, 5, 6]) == [(1, 0), (2, 1), (3, 3)]
     assert line_dedup.patience([0, 0], [0, 0]) == []
-    assert line_dedup.blocks([(0, 0), (2, 2)], [15, 0, 10], 20) == [0, 2]
+    assert line_dedup.blocks([(0, 0), (1, 1), (3, 2)], [15, 10, 20], 20) == [(0, 0, 2), (3, 2, 1)]
+    # the diff takes the longest order, what crosses it is aligned by itself
+    found = line_dedup.align([7, 8, 9], [20, 20, 20], [{"early": 1, "first": 1, "at": [0], "n": 1}, {"early": 1, "first": 2, "at": [1], "n": 1}, {"early": 1, "first": 0, "at": [2], "n": 1}], 20)
+    assert sorted(found) == [(1, 0, 2, 1), (1, 1, 0, 2)]
 
 
 def test_pipeline(spark):
