@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .common import _SPACE, span_hashes
+from .common import _SPACE, SLICE_BYTES, span_hashes
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
@@ -370,6 +370,8 @@ class _Encoder:
         return [found[u] for u in missing]
 
     def forget(self) -> None:
+        self.twins: dict[bytes, int] = {}  # units whose hash another unit has
+        self.bytes, self.byte_start, self.byte_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), MEMORY)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -377,7 +379,8 @@ class _Encoder:
     def encode(self, rows: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
-        Units are looked up by 64-bit hashes of their bytes, all units of the texts at once.
+        Units are looked up by 64-bit hashes of their bytes, all units of the texts at once, and every hit is compared
+        byte by byte; units that share another one's hash are looked up by their bytes.
         """
         data = np.frombuffer(b"".join(rows), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
@@ -392,22 +395,56 @@ class _Encoder:
                 keys, new = np.unique(key, return_index=True)
             else:
                 new = new[first]
-            raw = data.tobytes()
-            told = self.learn([raw[i:j] for i, j in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
             if len(self.start) + len(keys) > self.known.room:
                 self.known = _Table(self.known.keys[self.known.keys >= 0], self.known.values[self.known.keys >= 0], 2 * (len(self.start) + len(keys)))
-            self.known.add(keys, np.arange(len(self.start), len(self.start) + len(keys)))
-            size = np.fromiter(map(len, told), np.int64, len(told)) // 4
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
-            self.size = np.concatenate((self.size, size))
-            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(told), "<u4")))
+            self.known.add(keys, self._remember(data, begin[new], end[new]))
             entry = self.known.get(key)
+        other = np.flatnonzero(~self._equal(data, begin, end, entry))
+        if len(other):
+            units = [data[i:j].tobytes() for i, j in zip(begin[other].tolist(), end[other].tolist(), strict=True)]
+            at = {u: k for k, u in zip(other.tolist(), units, strict=True) if u not in self.twins}
+            places = np.array(list(at.values()), np.int64)
+            self.twins.update(zip(at, self._remember(data, begin[places], end[places]).tolist(), strict=True))
+            entry[other] = [self.twins[u] for u in units]
         size = self.size[entry]
         upto = np.concatenate(([0], np.cumsum(size)))
         flat = self.ids[np.repeat(self.start[entry] - upto[:-1], size) + np.arange(upto[-1])].astype("<u4").tobytes()
         to = 4 * upto[np.searchsorted(begin, ends, side="left")]
         return [flat[i:j] for i, j in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
+    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Encodes units and keeps their ids and bytes; their numbers in the memory."""
+        units = [data[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        told = self.learn(units)
+        size = np.fromiter(map(len, told), np.int64, len(told)) // 4
+        number = np.arange(len(self.start), len(self.start) + len(told))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(told), "<u4")))
+        n = end - begin
+        self.byte_start = np.concatenate((self.byte_start, len(self.bytes) + np.cumsum(n) - n))
+        self.byte_size = np.concatenate((self.byte_size, n))
+        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(units), np.uint8)))
+        return number
+
+    def _equal(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether each unit has the bytes of the entry found for it; about SLICE_BYTES at a time."""
+        n = end - begin
+        same = n == self.byte_size[entry]
+        total = np.cumsum(n)
+        lo = 0
+        while lo < len(n):
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + SLICE_BYTES, side="right")))
+            at = lo + np.flatnonzero(same[lo:hi])
+            size = n[at]
+            upto = np.cumsum(size) - size
+            step = np.arange(int(size.sum()))
+            differs = data[np.repeat(begin[at] - upto, size) + step] != self.bytes[np.repeat(self.byte_start[entry[at]] - upto, size) + step]
+            if differs.any():
+                same[at[np.searchsorted(upto, np.flatnonzero(differs), side="right") - 1]] = False
+            lo = hi
+        return same
+
 
 class WordEncoder(_Encoder):
     """The lower-casing vocabulary with word ends. White space separates units: no pre-token and no normal form crosses it."""

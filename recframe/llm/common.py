@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recframe.session import shared_dir
 
@@ -67,27 +69,17 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-#: For hashing: a fixed odd multiplier, powers of which are invertible modulo 2**64.
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: For hashing: odd constants of a fixed seed, and the masks of the first 0 to 8 bytes of a word.
+_ODD = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans beyond this many bytes are hashed one by one.
+LONG = 1 << 10
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        inverse = pow(int(_BASE), -1, 1 << 64)
-        for name, base in (("up", int(_BASE)), ("down", inverse)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
@@ -99,17 +91,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans of ``data``, equal for equal bytes wherever they stand."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BYTE[7])
+    """64-bit hashes of byte spans of ``data``, equal for equal bytes wherever they stand.
+
+    A span is read as words of eight bytes; each is mixed with its place in the span, and the mixed words add up. The
+    work is a few steps for each word of eight bytes, with memory in proportion to the spans.
+    """
+    size = ends - starts
+    out = size.astype(np.uint64) * _ODD[0]
+    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at, left = starts[live], size[live]
+    place = 0
+    while len(live):
+        place += 1
+        out[live] += mix((words[at] & _MASK[np.minimum(left, 8)]) ^ np.uint64(place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return mix(out)
 
 
 def words_of(rows: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, number of words of each row); words are runs of bytes other than ASCII white space.
 
-    Long rows are hashed in pieces cut at white space, so memory stays bounded by the longest word.
+    Memory is in proportion to the rows given, some twenty bytes a word: callers give about SLICE_BYTES, or one long row.
     """
     data = np.frombuffer(b"\n".join(rows), np.uint8) if rows else np.zeros(0, np.uint8)
     if lower:
@@ -137,7 +143,7 @@ def ngram_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndar
         shifted = np.zeros(len(words), np.uint64)
         ok = at + k < np.repeat(counts, counts)
         shifted[: len(words) - k] = words[k:] if k else words
-        key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, shifted * _BYTE[k + 11], np.uint64(k + 1))
+        key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, shifted * _ODD[k + 11], np.uint64(k + 1))
     keep = (at + n <= np.repeat(counts, counts)) | ((at == 0) & (np.repeat(counts, counts) < n))
     return mix(key[keep]), np.bincount(row[keep], minlength=rows).astype(np.int64)
 
@@ -150,3 +156,20 @@ def sets_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
     return h[first], np.bincount(r[first], minlength=len(counts)).astype(np.int64)
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: int = 1024) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each value of ``key``.
+
+    Values that more than one in ``hot`` rows of ``left`` have (there are fewer than ``hot`` such) are dealt, by a hash of
+    the column ``by``, to as many copies of their row of ``right`` as keeps each below that share.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
+    counts = cut(counts)
+    total = counts.agg(F.sum("rows_of_key")).collect()[0][0] or 0
+    share = max(1, -(-total // hot))
+    often = F.broadcast(counts.filter(F.col("rows_of_key") > share).select(key, F.ceil(F.col("rows_of_key") / share).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(often, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    copied = right.join(often, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "salt"]).drop("salt")
