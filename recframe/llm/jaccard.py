@@ -15,10 +15,13 @@
    component are compared whole, in blocks of about BLOCK sets, and only the blocks' counts for each document leave
    their task. A partner counts with all its exact copies.
 
-Shingles are told apart by 64-bit hashes. Defined results: null texts and texts without words have an empty set, link
-with nothing and are their own component; a text of fewer words than a shingle is one shingle; rows with equal doc_id
-count as one document; documents with null doc_id link with nothing; other columns are ignored; an empty table gives
-an empty table.
+No join sends the rows of one key to one task: a leader, or a document, with more than a 1024th of all pairs is dealt to
+copies of its row. Shingles are told apart by 64-bit hashes that aren't polynomials: of two sets of a million shingles, two
+different ones would count as equal with a chance of one in twenty million. Defined results: null texts and texts without
+words have an empty set, link with nothing and are their own component; a text of fewer words than a shingle is one
+shingle; rows with equal doc_id count as one document, whose links are those of the text with the smallest xxhash64 if the
+texts differ (n_shingles is each row's own); documents with null doc_id link with nothing; other columns are ignored; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, ngram_hashes, sets_of, slices, stored, texts, words_of
+from .common import cut, dropped, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
 #: Sets of a component that are compared with one another block in one task; and shingles of a block.
 BLOCK, BLOCK_SHINGLES = 128, 1 << 18
-_FIRST = "doc_id long, n long, d1 long, d2 long, ranges binary, chunk int, part long, counts binary"
+_FIRST = "doc_id long, copy long, n long, d1 long, d2 long, ranges binary, chunk int, part long, counts binary"
 
 
 def _sets(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +71,11 @@ def _first_pass(words: int):
                 spread = np.minimum(np.bincount(row * RANGES + (h >> np.uint64(57)).astype(np.int64), minlength=k * RANGES), 255).astype(np.uint8).reshape(k, RANGES)
                 ranges = pa.array([r.tobytes() for r in spread], pa.binary())
                 nothing = pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), ranges, *nothing], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, k), batch.column(2).slice(lo, k), pa.array(n), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), ranges, *nothing], names=names)
         if counts.any():
             blobs = counts.reshape(-1, CHUNK)
             k = len(blobs)
-            none = [*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary())]
+            none = [*[pa.nulls(k, pa.int64())] * 5, pa.nulls(k, pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(k), pa.int32()), pa.array([part] * k, pa.int64()), pa.array([b.astype("<u8").tobytes() for b in blobs])], names=names)
 
     return run
@@ -270,8 +273,8 @@ class JaccardJoin:
     def _links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that whole sets confirm."""
         sets = self._sets_of(pairs)
-        full = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b")
-        full = full.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a")
+        full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a")
+        full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b")
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
 
     def _degrees(self, comp: DataFrame, rep: DataFrame) -> DataFrame:
@@ -290,13 +293,19 @@ class JaccardJoin:
     def _plausible(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
         one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
         two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
-        full = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
+        full = skewed_join(skewed_join(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
         return full.mapInArrow(_suffix_filter(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, n_links): links are all other documents whose sets are similar enough."""
-        first = stored(self.docs.mapInArrow(_first_pass(self.words), _FIRST), "jaccard-first")
-        digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "n", "d1", "d2", "ranges")
+        first = stored(self.docs.withColumn("copy", F.xxhash64("text")).mapInArrow(_first_pass(self.words), _FIRST), "jaccard-first")
+        digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "copy", "n", "d1", "d2", "ranges")
+        versions = cut(digests.groupBy("doc_id").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).filter("least < most").select("doc_id", "least"))
+        if not versions.isEmpty():  # of several texts with one doc_id one links
+            chosen = F.coalesce(F.col("least") == F.col("copy"), F.lit(True))
+            digests = digests.join(versions, "doc_id", "left").filter(chosen).drop("least")
+            self.docs = self.docs.withColumn("copy", F.xxhash64("text")).join(versions, "doc_id", "left").filter(chosen).select("doc_id", "text")
+        digests = digests.drop("copy")
         counts = _bucket_counts(first)
         order = np.empty(BUCKETS, np.int32)
         order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
@@ -341,7 +350,13 @@ class JaccardJoin:
         # every document through its set's representative; n_links counts the partners' copies and the own ones
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        out = first.filter("chunk is null").select("doc_id", "n", "d1", "d2").join(group, ["n", "d1", "d2"], "left")
+        out = first.filter("chunk is null").select("doc_id", "copy", "n", "d1", "d2")
+        if not versions.isEmpty():  # all rows of a document share the links of the one text
+            own = digests.select("doc_id", F.col("n").alias("own_n"), F.col("d1").alias("own_d1"), F.col("d2").alias("own_d2")).dropDuplicates(["doc_id"])
+            group = own.join(group.withColumnsRenamed({"n": "own_n", "d1": "own_d1", "d2": "own_d2"}), ["own_n", "own_d1", "own_d2"]).select("doc_id", "component", "n_links")
+            out = out.join(group, "doc_id", "left")
+        else:
+            out = out.join(group, ["n", "d1", "d2"], "left")
         named = F.col("doc_id").isNotNull()
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 

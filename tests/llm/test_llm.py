@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recframe.llm import bpe_codec, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, warc
+from recframe.llm import bpe, bpe_codec, common, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, warc
 from recframe.llm.bpe import BYTE_BPE, WORD_BPE, default_path, encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -57,6 +57,33 @@ def test_encoder_is_the_library(kind, name, documents):
     assert [encoder(kind).encode([t.encode()])[0] for t in rows] == want  # however texts are grouped
 
 
+@pytest.mark.parametrize(("kind", "name"), [("word", WORD_BPE), ("byte", BYTE_BPE)])
+def test_encoder_compares_bytes(kind, name, documents, monkeypatch):
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate({97: "b", 98: "a"})
+    rows = [thue, thue.translate({97: "b", 98: "a"}), *[r["text"] for r in documents.limit(30).collect()], "x" * 300_000, "ab " * 100_000]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library(name).encode_batch(rows, add_special_tokens=False)]
+    assert encoder(kind).encode([t.encode() for t in rows]) == want
+    # sixteen hashes for all units: all but the first of each are found by their bytes
+    monkeypatch.setattr(bpe, "span_hashes", lambda *x: common.span_hashes(*x) & np.uint64(0xF0))
+    fresh = bpe._KINDS[kind][0](default_path(name))
+    assert [fresh.encode([t.encode()])[0] for t in rows] == want and fresh.encode([t.encode() for t in rows]) == want
+
+
+def test_span_hashes_of_patterned_words():
+    rng = np.random.default_rng(0)
+    words = {bytes(rng.choice([97, 98], n).astype(np.uint8)) for n in (7, 8, 9, 16, 64, 1024, 1030, 5000) for _ in range(300)}
+    words |= {b"ab" * k for k in range(700)} | {b"a" * k for k in range(1, 700)}
+    words = sorted(words)
+    data = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    h = common.span_hashes(np.frombuffer(data, np.uint8), ends - [len(w) for w in words], ends)
+    assert len(set(h.tolist())) == len(words)
+    alone = [common.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert alone == h.tolist()
+
+
 def check_pieces(pieces, ids):
     at = defaultdict(int)
     for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
@@ -339,6 +366,21 @@ def test_jaccard_counts_all_links(spark):
     assert [r["n_links"] for r in got if r["doc_id"] is None] == [0]
 
 
+def test_jaccard_large_groups_and_versions(spark):
+    base = [f"w{k}" for k in range(80)]
+    rows = [(k, " ".join([f"own{k}", *base])) for k in range(3000)]  # one large group of near copies
+    rows += [(10_000 + k, "an exact copy of these nine words here now") for k in range(3000)]
+    rows += [(20_000, "one version of a document here"), (20_000, "an exact copy of these nine words here now"), (20_001, "one version of a document here")]
+    got = defaultdict(set)
+    for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect():
+        got[r["doc_id"]].add((r["component_id"], r["n_links"]))
+    assert {got[k].pop() for k in range(3000)} == {(0, 2999)}
+    both = {x for k in range(10_000, 13_000) for x in got[k]}
+    version = got[20_000]
+    assert len(version) == 1 and version in ({(20_000, 1)}, {(10_000, 3000)})  # the text of the smaller hash links
+    assert both == ({(10_000, 3000)} if version == {(10_000, 3000)} else {(10_000, 2999)})
+
+
 def test_jaccard_odd(spark, odd, empty):
     rows = [(r["doc_id"], r["text"]) for r in odd.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).collect()]
     want = components_by_force(rows, 90, 3)
