@@ -158,18 +158,24 @@ def sets_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[first], np.bincount(r[first], minlength=len(counts)).astype(np.int64)
 
 
-def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, hot: int = 1024) -> DataFrame:
+def frequent(ids: DataFrame, total: int, hot: int = 1024, least: int = 256) -> list[tuple[int, int]]:
+    """(id, copies) of the values of ``ids`` (id) that more than one in ``hot`` of ``total`` rows have, and ``least`` rows:
+    fewer than ``hot`` times the rows of ``ids`` by ``total``, whatever the data. ``copies``: how many such shares they make."""
+    share = max(least, -(-total // hot))
+    rows = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > share).collect()
+    return [(r["id"], -(-r["n"] // share)) for r in rows]
+
+
+def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, often: list[tuple[int, int]]) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each value of ``key``.
 
-    Values that more than one in ``hot`` rows of ``left`` have (there are fewer than ``hot`` such) are dealt, by a hash of
-    the column ``by``, to as many copies of their row of ``right`` as keeps each below that share.
+    The rows of ``left`` with one of the values in ``often``, as ``frequent`` found them, are dealt by a hash of the
+    column ``by`` to that many copies of the value's row of ``right``.
     """
-    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    counts = cut(counts)
-    total = counts.agg(F.sum("rows_of_key")).collect()[0][0] or 0
-    share = max(1, -(-total // hot))
-    often = F.broadcast(counts.filter(F.col("rows_of_key") > share).select(key, F.ceil(F.col("rows_of_key") / share).cast("int").alias("salts")))
+    if not often:
+        return left.join(right, key)
+    table = F.broadcast(left.sparkSession.createDataFrame(often, f"{key} long, salts int"))
     salts = F.coalesce("salts", F.lit(1))
-    dealt = left.join(often, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
-    copied = right.join(often, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    dealt = left.join(table, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    copied = right.join(table, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     return dealt.join(copied, [key, "salt"]).drop("salt")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
+from .common import cut, dropped, frequent, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
@@ -270,11 +270,11 @@ class JaccardJoin:
         asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
         return asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
-    def _links(self, pairs: DataFrame) -> DataFrame:
+    def _links(self, pairs: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
         """The pairs that whole sets confirm."""
         sets = self._sets_of(pairs)
-        full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a")
-        full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b")
+        full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a", often)
+        full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b", often)
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
 
     def _degrees(self, comp: DataFrame, rep: DataFrame) -> DataFrame:
@@ -290,10 +290,10 @@ class JaccardJoin:
         full = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "hashes")
         return full.groupBy("component", "i", "j").applyInArrow(_count_links(self.percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
-    def _plausible(self, pairs: DataFrame, first: DataFrame) -> DataFrame:
+    def _plausible(self, pairs: DataFrame, first: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
         one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
         two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
-        full = skewed_join(skewed_join(pairs, one, "a", "b"), two, "b", "a").select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
+        full = skewed_join(skewed_join(pairs, one, "a", "b", often), two, "b", "a", often).select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
         return full.mapInArrow(_suffix_filter(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
@@ -332,12 +332,14 @@ class JaccardJoin:
             pairs = self._pairs(state, turn)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(self._plausible(pairs, profiles))
+            pairs = cut(pairs)
+            often = frequent(pairs.select(F.explode(F.array("a", "b")).alias("id")), pairs.count())
+            pairs = cut(self._plausible(pairs, profiles, often))
             tested = pairs if tested is None else tested.unionByName(pairs)
             n = pairs.count()
             self.log[f"pairs {turn}"] = n
             if n:
-                found = cut(self._links(pairs))
+                found = cut(self._links(pairs, often))
                 links = found if links is None else links.unionByName(found)
                 self.log[f"links {turn}"] = k = found.count()
                 if k:
