@@ -166,16 +166,16 @@ def frequent(ids: DataFrame, total: int, hot: int = 1024, least: int = 256) -> l
     return [(r["id"], -(-r["n"] // share)) for r in rows]
 
 
-def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, often: list[tuple[int, int]]) -> DataFrame:
-    """``left`` joined with ``right``, which has one row for each value of ``key``.
+def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, often: list[tuple[int, int]], how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each value of ``key`` (and the columns ``also``).
 
     The rows of ``left`` with one of the values in ``often``, as ``frequent`` found them, are dealt by a hash of the
     column ``by`` to that many copies of the value's row of ``right``.
     """
     if not often:
-        return left.join(right, key)
+        return left.join(right, [key, *also], how)
     table = F.broadcast(left.sparkSession.createDataFrame(often, f"{key} long, salts int"))
     salts = F.coalesce("salts", F.lit(1))
     dealt = left.join(table, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
     copied = right.join(table, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    return dealt.join(copied, [key, "salt"]).drop("salt")
+    return dealt.join(copied, [key, *also, "salt"], how).drop("salt")

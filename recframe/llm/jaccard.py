@@ -239,14 +239,19 @@ class JaccardJoin:
         self.docs = docs.select("doc_id", "text")
         self.log: dict[str, int] = {}
 
-    def _pairs(self, postings: DataFrame, turn: int | None) -> DataFrame:
-        """Candidates (a, b), a < b, of documents in different components. ``turn`` None: all that remain."""
-        by_token = postings.groupBy("token")
-        mixed = by_token.agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), *([] if turn is None else [F.min(F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("rank"), "doc_id", "n", "place", "comp")).alias("lead")]))
-        mixed = mixed.filter("c0 < c1").drop("c0", "c1")
-        own = postings.join(mixed, "token")
+    def _mixed(self, postings: DataFrame, turn: int | None) -> DataFrame:
+        """The postings of tokens whose documents are in several components, with the ``turn``'s leader of each token. The two
+        documents of a token that has no more have met in the first turn."""
+        lead = F.min(F.struct((F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))).alias("rank"), "doc_id", "n", "place", "comp"))
+        by_token = postings.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("df"), *([] if turn is None else [lead.alias("lead")]))
+        left = by_token.filter("c0 < c1 AND df > 2" if turn != 0 else "c0 < c1").drop("c0", "c1", "df")
+        return postings.join(left, "token")
+
+    def _pairs(self, own: DataFrame, turn: int | None) -> DataFrame:
+        """Candidates (a, b), a < b, of documents in different components, of postings that ``_mixed`` gave. ``turn`` None:
+        all that remain."""
         if turn is None:
-            other = postings.select("token", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"))
+            other = own.select("token", F.col("doc_id").alias("doc2"), F.col("n").alias("n2"), F.col("place").alias("place2"), F.col("comp").alias("comp2"))
             own = own.join(other, "token").filter("doc_id < doc2")
         else:
             own = own.select("*", F.col("lead.doc_id").alias("doc2"), F.col("lead.n").alias("n2"), F.col("lead.place").alias("place2"), F.col("lead.comp").alias("comp2"))
@@ -270,23 +275,22 @@ class JaccardJoin:
         asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
         return asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
-    def _links(self, pairs: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
+    def _links(self, pairs: DataFrame, sets: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
         """The pairs that whole sets confirm."""
-        sets = self._sets_of(pairs)
         full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a", often)
         full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b", often)
         return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
 
-    def _degrees(self, comp: DataFrame, rep: DataFrame) -> DataFrame:
-        """(rep, links): how many documents of other texts each representative is linked with. ``comp``: the final components."""
+    def _degrees(self, comp: DataFrame, rep: DataFrame, sets: DataFrame) -> DataFrame:
+        """(rep, links): how many documents of other texts each representative is linked with. ``comp``: the final components;
+        ``sets``: the sets of all documents that any pair has named, so of all in a component."""
         member = comp.join(rep.select(F.col("rep").alias("node"), "n", "copies"), "node").select(F.col("node").alias("doc_id"), "component", "n", "copies")
         blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
         several = member.groupBy("component").agg(blocks.alias("blocks")).filter("blocks > 1")
         member = member.join(several, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        sets = self._sets_of(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
         # a set meets every block of its component, its own too; of two blocks the smaller one names the group first
-        full = member.join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        full = member.join(sets.dropDuplicates(["doc_id"]), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         full = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "hashes")
         return full.groupBy("component", "i", "j").applyInArrow(_count_links(self.percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
@@ -321,15 +325,17 @@ class JaccardJoin:
         shared = stored(several(cut(shared)), "jaccard-postings")
         dropped(postings)
         profiles = digests.join(reps, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        comp = None
-        links = None
-        tested = None
+        comp = links = tested = sets = None
+        state = shared.withColumn("comp", F.col("doc_id"))
         for turn in [*range(self.turns), None]:
-            if comp is None:
-                state = shared.withColumn("comp", F.col("doc_id"))
-            else:
-                state = shared.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("token", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("comp"))
-            pairs = self._pairs(state, turn)
+            if comp is not None:  # components only grow, so tokens within one are done with for good
+                named = state.join(comp.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+                state = named.select("token", "doc_id", "n", "place", F.coalesce("component", "comp").alias("comp"))
+            own = self._mixed(state, turn)
+            if turn != 0:
+                own = cut(own)
+                state = own.select("token", "doc_id", "n", "place", "comp")
+            pairs = self._pairs(own, turn)
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = cut(pairs)
@@ -339,7 +345,9 @@ class JaccardJoin:
             n = pairs.count()
             self.log[f"pairs {turn}"] = n
             if n:
-                found = cut(self._links(pairs, often))
+                asked = cut(self._sets_of(pairs))
+                sets = asked if sets is None else sets.unionByName(asked)
+                found = cut(self._links(pairs, asked, often))
                 links = found if links is None else links.unionByName(found)
                 self.log[f"links {turn}"] = k = found.count()
                 if k:
@@ -348,7 +356,7 @@ class JaccardJoin:
             comp = digests.sparkSession.createDataFrame([], "node long, component long")
             degree = digests.sparkSession.createDataFrame([], "rep long, links long")
         else:
-            degree = cut(self._degrees(comp, rep))
+            degree = cut(self._degrees(comp, rep, sets))
         # every document through its set's representative; n_links counts the partners' copies and the own ones
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -358,7 +366,8 @@ class JaccardJoin:
             group = own.join(group.withColumnsRenamed({"n": "own_n", "d1": "own_d1", "d2": "own_d2"}), ["own_n", "own_d1", "own_d2"]).select("doc_id", "component", "n_links")
             out = out.join(group, "doc_id", "left")
         else:
-            out = out.join(group, ["n", "d1", "d2"], "left")
+            often = frequent(digests.filter("n > 0").select(F.col("d1").alias("id")), digests.count())
+            out = skewed_join(out, group, "d1", "doc_id", often, "left", ("n", "d2"))
         named = F.col("doc_id").isNotNull()
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
 
