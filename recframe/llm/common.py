@@ -9,6 +9,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_if_any(spark: SparkSession, sf_dir: str, name: str) -> DataFrame | None:
+    """A table, or None where the folder has none of that name."""
+    try:
+        return table(spark, sf_dir, name)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint: computed once, and still there when an executor is lost."""
     shared_dir(df.sparkSession)
@@ -38,11 +49,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Removes the files of a ``stored`` table that nothing will read again."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    removed(df.sparkSession, df.stored_at)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:

@@ -357,6 +357,7 @@ class JaccardJoin:
             degree = digests.sparkSession.createDataFrame([], "rep long, links long")
         else:
             degree = cut(self._degrees(comp, rep, sets))
+        dropped(shared)  # what follows reads checkpoints only
         # every document through its set's representative; n_links counts the partners' copies and the own ones
         group = rep.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
         group = group.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

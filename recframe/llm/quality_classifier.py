@@ -1,10 +1,10 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader updates.
 
-A text's tokens are runs of letters, of digits and of other marks. Its features are hashed into a fixed number of
-weights: each token in lower case, and each two and three neighbouring tokens by form (how a word is capitalised,
+A text's tokens are runs of letters, of digits and of other marks. Its features are all runs of one, two and three
+tokens, hashed into a fixed number of weights: by the words, in lower case, and by form (how a word is capitalised,
 whether it repeats the one before, the marks themselves); a feature's value is the root of its share. Training makes
-a few passes over a bounded sample of labelled documents (``SAMPLE``) in the driver; scoring is a sparse dot product
-with the weights, which have a fixed size and are sent to the workers once.
+a few passes over a sample of labelled documents, bounded in number (``SAMPLE``) and bytes, in the driver; scoring is a
+sparse dot product with the weights, which have a fixed size and are sent to the workers once.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; without labels of both
 kinds every score is the share of label 1 (0.5 without any label); repeated rows are scored one by one; other
@@ -49,7 +49,7 @@ class Features:
             form = "U" if token.isupper() and len(token) > 1 else "T" if token[0].isupper() else "l" if token.islower() else "m"
         else:
             form = "9" if token[0].isdigit() else token[:8]
-        found = self.memory[token] = (_code("w" + token.lower()) % WEIGHTS, _code("f" + form))
+        found = self.memory[token] = (_code("w" + token.lower()), _code("f" + form))
         return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -60,9 +60,12 @@ class Features:
         codes = np.array([get(t) or make(t) for t in tokens], np.int64)
         words, forms = codes[:, 0], codes[:, 1].copy()
         forms[1:][words[1:] == words[:-1]] ^= 0x5BD1E995
-        two = (forms[:-1] * 31 + forms[1:] + 1) * 0x9E3779B1 >> 7
-        three = ((forms[:-2] * 31 + forms[1:-1]) * 31 + forms[2:] + 2) * 0x9E3779B1 >> 7
-        index, n = np.unique(np.concatenate((words, forms % WEIGHTS, two % WEIGHTS, three % WEIGHTS)), return_counts=True)
+        runs = [words % WEIGHTS, forms % WEIGHTS]
+        for k, codes in enumerate((words, forms)):
+            two = (codes[:-1] * 31 + codes[1:] + 1 + 2 * k) * 0x9E3779B1 >> 7
+            three = ((codes[:-2] * 31 + codes[1:-1]) * 31 + codes[2:] + 2 + 2 * k) * 0x9E3779B1 >> 7
+            runs += [two % WEIGHTS, three % WEIGHTS]
+        index, n = np.unique(np.concatenate(runs), return_counts=True)
         return index, np.sqrt(n / len(tokens))
 
 

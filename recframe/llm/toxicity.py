@@ -1,15 +1,16 @@
 """Toxicity by maximum-scoring segments.
 
 Each token has a log-odds score, of occurring in toxic against other documents, with a Dirichlet prior that is
-proportional to the token's share of all labelled documents; of a word's stems (its first four, five and six letters)
-and the word itself, the one of the largest z-score speaks for it, and only if that is large. A small drift is taken
-off every token. A linear-time scan then finds all maximal-scoring segments. Under chance the best score of a
+proportional to the token's share of all labelled documents, drawn towards 0 by two of its standard errors: what is
+within them counts as 0. Of a word's stems (its first four, five and six letters) and the word itself, the one furthest
+from 0 speaks for it. A small drift is taken off every token. A linear-time scan then finds all maximal-scoring segments.
+Under chance the best score of a
 document follows an extreme-value law; its two parameters are fitted to the documents labelled as not toxic, so that
 a segment's score becomes the logarithm of how many as good would be expected by chance in a text of that length.
 Segments that are significant add up, and a logistic curve fitted to the labelled documents turns their sum to a
 score from 0 to 1.
 
-The model is fitted to a bounded sample of labelled documents (``SAMPLE``) in the driver; scanning is row-wise, over
+The model is fitted to a sample of labelled documents, bounded in number (``SAMPLE``) and bytes, in the driver; scanning is row-wise, over
 whole texts, without a shuffle.
 
 Defined results: null and empty texts have no segment and get the score of no evidence; without labels of both kinds
@@ -29,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import slices
 from .training import fold, labelled_sample
@@ -49,32 +49,43 @@ def _forms(word: str) -> list[str]:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (from, to, score) of a sequence, in linear time: no segment can be extended or split
-    without loss, each within the one before's rest."""
-    out: list[tuple[int, int, float, float]] = []  # from, to, left sum, right sum
+    """All maximal-scoring segments (from, to, score) of a sequence: no segment can be extended or split without loss, each
+    within the one before's rest.
+
+    In linear time: each segment points at the last one before it whose left sum is smaller, which is all that a later
+    one needs to look at; what a search has passed lies behind its result and isn't passed again unless it is merged.
+    """
+    begin: list[int] = []
+    end: list[int] = []
+    low: list[float] = []  # sum of all scores before a segment
+    high: list[float] = []  # and up to its end
+    smaller: list[int] = []
     total = 0.0
     for k, s in enumerate(scores):
         before = total
         total += s
         if s <= 0:
             continue
-        lo, left = k, before
+        lo, left, j = k, before, len(begin) - 1
         while True:
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= left:
-                j -= 1
-            if j < 0 or out[j][3] >= total:
-                out.append((lo, k + 1, left, total))
+            while j >= 0 and low[j] >= left:
+                j = smaller[j]
+            if j < 0 or high[j] >= total:
                 break
-            lo, left = out[j][0], out[j][2]
-            del out[j:]
-    return [(a, b, r - left) for a, b, left, r in out]
+            lo, left = begin[j], low[j]
+            back = smaller[j]
+            for column in (begin, end, low, high, smaller):
+                del column[j:]
+            j = back
+        for column, x in zip((begin, end, low, high, smaller), (lo, k + 1, left, total, j), strict=True):
+            column.append(x)
+    return [(a, b, r - x) for a, b, x, r in zip(begin, end, low, high, strict=True)]
 
 
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
-    drift: float = 0.1
+    drift: float = 0.2
     rate: float = 1.0  # of the extreme-value law
     chance: float = 1.0
     slope: float = 0.0
@@ -115,8 +126,17 @@ class Model:
         return 1 / (1 + math.exp(-min(35.0, max(-35.0, x))))
 
 
-def fit(sample: list[tuple[str, int]], prior: float = 500.0, least_z: float = 2.5, least_docs: int = 5) -> Model:
-    """The model of labelled texts. ``prior``: weight of the Dirichlet prior, in documents; equal texts count once."""
+def log_odds(toxic: int, other: int, n1: int, n0: int, prior: float, errors: float) -> float:
+    """How much likelier a token is in toxic documents: the logarithm of the odds of its two shares, drawn towards 0 by some
+    standard errors. It is in ``toxic`` of ``n1`` and ``other`` of ``n0`` documents; the prior puts it in both alike."""
+    share = (toxic + other) / (n1 + n0)
+    a, b = toxic + prior * share, other + prior * share
+    delta = math.log(a / max(n1 + prior - a, 1e-9)) - math.log(b / max(n0 + prior - b, 1e-9))
+    return math.copysign(max(abs(delta) - errors * math.sqrt(1 / a + 1 / b), 0.0), delta)
+
+
+def fit(sample: list[tuple[str, int]], prior: float = 500.0, errors: float = 2.0) -> Model:
+    """The model of labelled texts; equal texts count once. ``prior``: weight of the Dirichlet prior, in documents."""
     sample = list(dict.fromkeys(sample))
     toxic, other = Counter(), Counter()
     for text, y in sample:
@@ -126,15 +146,8 @@ def fit(sample: list[tuple[str, int]], prior: float = 500.0, least_z: float = 2.
     model = Model()
     if not n1 or not n0:
         return model
-    for f, a in toxic.items():
-        b = other[f]
-        if a + b < least_docs:
-            continue
-        share = prior * (a + b) / (n1 + n0)
-        delta = math.log((a + share) / (n1 + prior - a - share if n1 + prior > a + share else 1e-9)) - math.log((b + share) / max(n0 + prior - b - share, 1e-9))
-        z = delta / math.sqrt(1 / (a + share) + 1 / (b + share))
-        if z >= least_z and a * n0 > 4 * b * n1:
-            model.weights[f] = min(delta, 3.0)
+    found = ((f, log_odds(toxic[f], other[f], n1, n0, prior, errors)) for f in toxic.keys() | other.keys())
+    model.weights = {f: x for f, x in found if x}
     # The extreme-value law of the best segments of texts that aren't toxic.
     rows = [(max((s for _, _, s in found), default=0.0), n, y) for (n, found), y in ((model.passages(t), y) for t, y in sample)]
     calm = np.array([(s, n) for s, n, y in rows if not y and n], float).reshape(-1, 2)
@@ -169,20 +182,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def flag(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with all its columns and the score as ``toxic`` (replaced if there is one), row by row."""
-    docs = docs.drop("toxic")
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxic", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            out = [own.score(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "toxic"])
+            yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -203,7 +214,10 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first_word long, words long, score double, surprise double")
 
 
-def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame | None, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
+    """The model of the labels outside the held-out fold; without a table of labels, one to which nothing is toxic."""
+    if labels is None:
+        return Model()
     return fit(labelled_sample(docs, labels, "toxic", folds, held_out, sample))
 
 

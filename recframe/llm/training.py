@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,11 +11,16 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``bound`` labelled documents outside the held-out fold, in a fixed order.
+#: Bytes of text that a sample holds at most.
+BYTES = 1 << 26
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, size: int = BYTES) -> list[tuple[str, int]]:
+    """(text, label) of labelled documents outside the held-out fold, in a fixed order: at most ``bound``, and as many of the
+    first ones as have ``size`` bytes together.
 
     Which documents is settled by a hash of the id alone. Rows without a label or id are left out; of several labels of
-    one id the largest holds, of several texts with one id all do.
+    one id the largest holds, of several texts with one id the one of the smallest hash.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(fold("doc_id", folds) != held_out)
     known = known.groupBy("doc_id").agg(F.max(label).alias("_label"))
@@ -24,5 +29,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     if n > bound:  # about the bound by a threshold on the hash, then exactly
         known = known.filter(F.pmod(place, F.lit(1 << 30)) < int(1.1 * bound / n * (1 << 30)))
     chosen = known.withColumn("_place", place).orderBy("_place", "doc_id").limit(bound)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("_place", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "_label").collect()
-    return [(r["text"], int(r["_label"])) for r in sorted(rows, key=lambda r: (r["_place"], r["doc_id"], r["text"]))[:bound]]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # ``bound`` rows
+    rows = rows.groupBy("_place", "doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    before = Window.orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over ``bound`` rows at most
+    rows = rows.withColumn("_upto", F.sum(F.octet_length("text")).over(before)).filter(F.col("_upto") <= size)
+    return [(r["text"], int(r["_label"])) for r in sorted(rows.collect(), key=lambda r: (r["_place"], r["doc_id"]))]

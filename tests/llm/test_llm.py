@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the tokenizers library and odd inputs."""
 
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recframe.llm import bpe, bpe_codec, common, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, warc
+from recframe.llm import bpe, bpe_codec, common, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, training, warc
 from recframe.llm.bpe import BYTE_BPE, WORD_BPE, default_path, encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -287,27 +288,149 @@ def test_classifiers_odd(spark, odd, empty):
         assert classify(odd, labels).count() == odd.count()
         assert classify(odd, labels.limit(0)).count() == odd.count()
         assert classify(empty, labels).count() == 0
-    assert toxicity.flag(odd, toxicity.Model()).columns == ["doc_id", "text", "lang", "kept", "ids", "toxic"]
+        blank = {r["score"] for r in classify(odd, labels).collect() if r["doc_id"] in (0, 1)}
+        assert len(blank) == 1 and 0 <= blank.pop() <= 1  # null and empty texts
+    clash = odd.withColumn("a.b", F.lit(1))
+    assert toxicity.keep_clean(clash, toxicity.Model()).columns == clash.columns and toxicity.keep_clean(clash, toxicity.Model()).count() == odd.count()
+    assert toxicity.learn(odd, None) == toxicity.Model()
+
+
+def test_label_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 50, f"{k:05d}" * 20) for k in range(500)] + [(7, None)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)] * 2, "doc_id bigint, quality int")
+    rows = training.labelled_sample(docs, labels, "quality", 4, 2, 20)
+    assert len(rows) == 20 and rows == training.labelled_sample(docs.repartition(5), labels, "quality", 4, 2, 20)
+    few = training.labelled_sample(docs, labels, "quality", 4, 2, 20, 450)
+    assert few == rows[: len(few)] and len(few) >= 4 and sum(len(t) for t, _ in few) <= 450
+
+
+def test_quality_scores_by_force(spark, documents):
+    """The same features and updates written out one weight at a time."""
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    sample = training.labelled_sample(documents, labels, "quality", 4, 2, quality_classifier.SAMPLE)
+    token = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+
+    def features(text):
+        words, forms = [], []
+        for t in token.findall(text):
+            w = zlib.crc32(("w" + t.lower()).encode())
+            f = ("U" if t.isupper() and len(t) > 1 else "T" if t[0].isupper() else "l" if t.islower() else "m") if t[0].isalpha() else "9" if t[0].isdigit() else t[:8]
+            f = zlib.crc32(("f" + f).encode()) ^ (0x5BD1E995 if words and words[-1] == w else 0)
+            words.append(w)
+            forms.append(f)
+        found = Counter()
+        for k, codes in enumerate((words, forms)):
+            for i, c in enumerate(codes):
+                found[c % (1 << 18)] += 1
+                if i >= 1:
+                    found[(((codes[i - 1] * 31 + c + 1 + 2 * k) * 0x9E3779B1) >> 7) % (1 << 18)] += 1
+                if i >= 2:
+                    found[((((codes[i - 2] * 31 + codes[i - 1]) * 31 + c + 2 + 2 * k) * 0x9E3779B1) >> 7) % (1 << 18)] += 1
+        return {i: math.sqrt(n / len(words)) for i, n in found.items()} | {1 << 18: 1.0}
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= 0.02 else (math.copysign(0.02, z[i]) - z[i]) / ((1 + math.sqrt(n[i])) / 0.3 + 0.1)
+
+    def chance(x):
+        return 1 / (1 + math.exp(-sum(weight(i) * v for i, v in x.items())))
+
+    rows = [(features(t), y) for t, y in sample]
+    for turn in range(3):
+        for k in np.random.Generator(np.random.PCG64(turn)).permutation(len(rows)).tolist():
+            x, y = rows[k]
+            p = chance(x)
+            for i, w, g in [(i, weight(i), (p - y) * v) for i, v in x.items()]:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / 0.3 * w
+                n[i] += g * g
+    got = {r["doc_id"]: r for r in queries.op7_quality_classifier(spark, DATA).collect()}
+    for r in documents.collect():
+        want = chance(features(r["text"] or ""))
+        assert abs(got[r["doc_id"]]["score"] - want) < 1e-9
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) and got[r["doc_id"]]["predicted"] == int(want >= 0.7)
+
+
+def slow_segments(s, lo, hi):
+    best, span = 0.0, None
+    for i in range(lo, hi):
+        t = 0.0
+        for j in range(i, hi):
+            t += s[j]
+            if t > best + 1e-9:
+                best, span = t, (i, j + 1)
+    return slow_segments(s, lo, span[0]) + [(*span, best)] + slow_segments(s, span[1], hi) if span else []
+
+
+def test_toxicity_scores_by_force(spark):
+    """Log-odds, segments, extreme-value law and scores of the query, written out anew."""
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    sample = list(dict.fromkeys(training.labelled_sample(docs, labels, "toxic", 5, 0, toxicity.SAMPLE)))
+    model = toxicity.learn(docs, labels)
+    words = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    forms = lambda w: [w[:k] + "-" for k in (4, 5, 6) if len(w) >= k] + [w]
+    n = Counter(y for _, y in sample)
+    df = {y: Counter(f for t, z in sample if z == y for f in {f for w in words(t) for f in forms(w)}) for y in (0, 1)}
+
+    def odds(f):
+        a, b = (df[y][f] + 500 * (df[0][f] + df[1][f]) / (n[0] + n[1]) for y in (1, 0))
+        if not a:
+            return 0.0
+        d = math.log(a / (n[1] + 500 - a)) - math.log(b / (n[0] + 500 - b))
+        return max(abs(d) - 2 * math.sqrt(1 / a + 1 / b), 0) * (1 if d > 0 else -1)
+
+    known = {}
+
+    def token(w):
+        if w not in known:
+            known[w] = max((odds(f) for f in forms(w)), key=abs) - 0.2
+        return known[w]
+
+    best = []
+    for t, y in sample:
+        if not y and (w := words(t)):
+            found = toxicity.segments([token(x) for x in w])
+            best.append((max((x[2] for x in found), default=0.0), len(w)))
+    rate = min(4.0, max(0.5, math.pi / math.sqrt(6) / np.std([x for x, _ in best])))
+    chance = math.exp(rate * (np.mean([x for x, _ in best]) - 0.5772 / rate)) / np.mean([k for _, k in best])
+    assert math.isclose(model.rate, rate, rel_tol=1e-6) and math.isclose(model.chance, max(chance, 1e-4), rel_tol=1e-6)
+    evidence = lambda t, cut: sum(e for *_, x in cut([token(w) for w in words(t)]) if (e := rate * x - math.log(model.chance * max(len(words(t)), 1))) > 0)
+    fast = lambda s: toxicity.segments(s)
+    x = np.array([math.log1p(evidence(t, fast)) for t, _ in sample])
+    p = 1 / (1 + np.exp(-(model.slope * x + model.bias)))
+    y = np.array([y for _, y in sample])
+    assert abs((y - p).sum()) < 0.01 and abs(((y - p) * x).sum() - 0.5 * model.slope) < 0.01  # the logistic curve's optimum
+    got = {r["doc_id"]: r["score"] for r in queries.op9_toxicity(spark, data).collect()}
+    short = 0
+    for r in docs.collect():
+        t = r["text"] or ""
+        by_force = len(words(t)) <= 60
+        short += by_force
+        e = evidence(t, (lambda s: slow_segments(s, 0, len(s))) if by_force else fast)
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-(model.slope * math.log1p(e) + model.bias)))) < 1e-6
+    assert short > 20
+
+
+def test_segments_in_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        toxicity.segments([1, -2] * n)
+        toxicity.segments([-1, 2] * n)
+        toxicity.segments([2, -1] * n)
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(500_000) < 25  # a million scores each
+    assert took(200_000) < 6 * took(100_000)
+    assert toxicity.segments([1, -2] * 5) == [(2 * k, 2 * k + 1, 1) for k in range(5)]
 
 
 def test_segments_are_the_maximal_ones():
     rng = np.random.default_rng(5)
-
-    def slow(s, lo, hi):
-        best, span = 0.0, None
-        for i in range(lo, hi):
-            t = 0.0
-            for j in range(i, hi):
-                t += s[j]
-                if t > best + 1e-9:
-                    best, span = t, (i, j + 1)
-        if not span:
-            return []
-        return slow(s, lo, span[0]) + [(*span, round(best, 6))] + slow(s, span[1], hi)
-
-    for _ in range(200):
-        s = rng.normal(-0.2, 1, rng.integers(0, 25)).tolist()
-        assert [(a, b, round(x, 6)) for a, b, x in toxicity.segments(s)] == slow(s, 0, len(s))
+    for _ in range(300):
+        s = rng.normal(rng.normal(-0.1, 0.3), 1, rng.integers(0, 60)).tolist()
+        assert [(a, b, round(x, 6)) for a, b, x in toxicity.segments(s)] == [(a, b, round(x, 6)) for a, b, x in slow_segments(s, 0, len(s))]
 
 
 def components_by_force(rows, percent, words):
@@ -472,21 +595,47 @@ def test_patience():
 def test_pipeline(spark):
     import corpus_pipeline
 
-    labels = spark.read.parquet(f"{DATA}/labels.parquet").collect()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     before = docs.columns
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.learn(docs, labels)
     for name, stage in corpus_pipeline.STAGES:
+        rows = {r["doc_id"]: r for r in docs.collect()}
         out = stage(spark, docs, DATA)
         if name != "packing":
             assert out.columns == before and out.dtypes == docs.dtypes
         out = spark.createDataFrame(out.collect(), out.schema)
+        left = {r["doc_id"]: r for r in out.collect()}
         if name == "quality rules":
-            assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in quality_rules.assess(docs).filter("kept").collect()}
+            assert set(left) == {r["doc_id"] for r in quality_rules.assess(docs).collect() if r["kept"]}
+        if name == "toxicity":
+            assert set(left) == {i for i, r in rows.items() if model.score(r["text"] or "") < 0.5}
         if name == "n-gram Jaccard join":
-            want = components_by_force([(r["doc_id"], r["text"]) for r in docs.collect()], 80, 5)
-            assert {r["doc_id"] for r in out.collect()} == {i for i, (_, c) in want.items() if i == c}
+            want = components_by_force([(i, r["text"]) for i, r in rows.items()], 80, 5)
+            assert set(left) == {i for i, (_, c) in want.items() if i == c}
         if name == "line dedup":
-            assert out.filter("n_chars <> length(text)").count() == docs.filter("n_chars <> length(text)").count()
+            gone = without_copies([(i, r["text"]) for i, r in rows.items()])
+            rest = {i: "\n".join(x for k, x in enumerate((r["text"] or "").split("\n")) if k not in gone[i]) for i, r in rows.items()}
+            assert {i: r["text"] for i, r in left.items()} == {i: t for i, t in rest.items() if not gone[i] or WORD.search(t)}
+            assert all(r["n_chars"] == (len(r["text"]) if gone[i] else rows[i]["n_chars"]) for i, r in left.items())
+        if name == "packing":
+            tok = library(WORD_BPE)
+            assert check_pieces(out.collect(), {i: [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1] for i, r in rows.items()}) == 0
         docs = out
-    assert docs.count() > 0 and len(labels) > 0
-    assert corpus_pipeline.run(spark, DATA).count() > 0
+    assert docs.count() > 0
+    final = corpus_pipeline.run(spark, DATA)
+    assert sorted(final.select("doc_id", "start", "length", "ids_crc32").collect())[:1] and final.groupBy("doc_id").count().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls, repeated rows, clashing names, a folder without labels, and no rows at all."""
+    import corpus_pipeline
+
+    many = odd.unionByName(odd).withColumns({c: F.lit(5) for c in ("row", "copy", "left", "score", "n_words", "n_removed", "n_chars", "component_id", "a.b")})
+    for k, docs in enumerate((many, empty)):
+        folder = f"{tmp_path}/{k}"
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+            assert out.columns == docs.columns and (out.count() > 0 or name == "quality rules" or not k == 0)
+        corpus_pipeline.run(spark, folder).count()
