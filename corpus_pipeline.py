@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from recframe.llm import jaccard, line_dedup, packing, quality_rules, toxicity
-from recframe.llm.common import shared_dir, table
+from recframe.llm.common import removed, shared_dir, table, table_if_any
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic. The model learns from the labelled documents of the source, outside its held-out fold."""
-    model = toxicity.learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.flag(docs, model).filter("toxic < 0.5").select(*docs.columns)
+    model = toxicity.learn(table(spark, sf_dir, "documents"), table_if_any(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, and all documents without words or id."""
-    gone = jaccard.near_duplicates(docs, percent=80, words=5).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = jaccard.near_duplicates(docs, percent=80, words=5).filter("doc_id <> component_id").select("doc_id").distinct().toDF("gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            removed(spark, f"{base}/{k - 1}")  # nothing reads it any more
         docs = spark.read.parquet(path)
     return docs
 
