@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .common import _SPACE, SLICE_BYTES, span_hashes
+from .common import _SPACE, SLICE_BYTES, release, span_hashes
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
@@ -502,4 +502,6 @@ def encoder(kind: str, path: str | None = None) -> WordEncoder | ByteEncoder:
     """One encoder for each worker process; its memory is bounded and only speeds it up."""
     make, name = _KINDS[kind]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return make(path or default_path(name))
+    made = make(path or default_path(name))
+    release()  # what reading the vocabulary has left behind
+    return made

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .common import slices, texts
+from .common import map_arrow, slices, texts
 
 
 def encode(docs: DataFrame, kind: str = "word", vocabulary: str | None = None) -> DataFrame:
@@ -32,7 +32,7 @@ def encode(docs: DataFrame, kind: str = "word", vocabulary: str | None = None) -
             for lo, hi in slices(column):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(own.encode(texts(column.slice(lo, hi - lo))), pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
 class Decoder:
@@ -55,7 +55,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             for lo, hi in slices(column):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([own(x) for x in texts(column.slice(lo, hi - lo))], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -80,4 +80,4 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGEST)
+    return map_arrow(docs.select("doc_id", "text"), run, DIGEST)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -12,11 +13,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recframe.session import shared_dir
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the batch holds.
 SLICE_BYTES = 1 << 20
+#: Slices after which a worker gives back what memory is free.
+SLICES_KEPT = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +71,14 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         return
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     total = np.cumsum(sizes)
-    lo = 0
+    lo = done = 0
     while lo < n:
         base = total[lo - 1] if lo else 0
         hi = max(lo + 1, int(np.searchsorted(total, base + limit, side="right")))
         yield lo, hi
-        lo = hi
+        lo, done = hi, done + 1
+        if done % SLICES_KEPT == 0:
+            release()
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -80,8 +86,22 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def release() -> None:
+    """Gives memory that is free in this process back to the system; glibc keeps what large arrays leave behind."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+    pa.default_memory_pool().release_unused()
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``; a worker that has come to the end of its partition, and may wait for the next one, holds no spare memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 #: For hashing: odd constants of a fixed seed, and the masks of the first 0 to 8 bytes of a word.

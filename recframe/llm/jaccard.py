@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, frequent, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
+from .common import cut, dropped, frequent, map_arrow, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
@@ -273,13 +273,13 @@ class JaccardJoin:
         """(doc_id, hashes): only documents that a pair may name leave the scan, as sets."""
         bits = self.docs.sparkSession.sparkContext.broadcast(self._needed(pairs))
         asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
-        return asked.mapInArrow(_set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
+        return map_arrow(asked, _set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
     def _links(self, pairs: DataFrame, sets: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
         """The pairs that whole sets confirm."""
         full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a", often)
         full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b", often)
-        return full.select("a", "b", "set_a", "set_b").mapInArrow(_verify(self.percent), "a long, b long")
+        return map_arrow(full.select("a", "b", "set_a", "set_b"), _verify(self.percent), "a long, b long")
 
     def _degrees(self, comp: DataFrame, rep: DataFrame, sets: DataFrame) -> DataFrame:
         """(rep, links): how many documents of other texts each representative is linked with. ``comp``: the final components;
@@ -298,11 +298,11 @@ class JaccardJoin:
         one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
         two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
         full = skewed_join(skewed_join(pairs, one, "a", "b", often), two, "b", "a", often).select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
-        return full.mapInArrow(_suffix_filter(self.percent), "a long, b long")
+        return map_arrow(full, _suffix_filter(self.percent), "a long, b long")
 
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id, n_links): links are all other documents whose sets are similar enough."""
-        first = stored(self.docs.withColumn("copy", F.xxhash64("text")).mapInArrow(_first_pass(self.words), _FIRST), "jaccard-first")
+        first = stored(map_arrow(self.docs.withColumn("copy", F.xxhash64("text")), _first_pass(self.words), _FIRST), "jaccard-first")
         digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "copy", "n", "d1", "d2", "ranges")
         versions = cut(digests.groupBy("doc_id").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).filter("least < most").select("doc_id", "least"))
         if not versions.isEmpty():  # of several texts with one doc_id one links
@@ -314,7 +314,7 @@ class JaccardJoin:
         order = np.empty(BUCKETS, np.int32)
         order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
         rep = digests.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("copies"))
-        postings = self.docs.filter("doc_id is not null").mapInArrow(_prefixes(order, self.words, self.percent), "token long, doc_id long, n int, place int")
+        postings = map_arrow(self.docs.filter("doc_id is not null"), _prefixes(order, self.words, self.percent), "token long, doc_id long, n int, place int")
         postings = stored(postings, "jaccard-prefixes")
 
         def several(rows: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, slices, stored, texts
+from .common import cut, dropped, map_arrow, slices, stored, texts
 
 #: Passages with more than this share (one in HOT) of all rows are looked up by broadcast: there can't be more than HOT.
 HOT = 1024
@@ -217,12 +217,12 @@ def _shared(lines: DataFrame) -> DataFrame:
 def _blocks(lines: DataFrame, min_words: int) -> DataFrame:
     shared = _shared(lines).groupBy("doc_id", "copy").agg(F.collect_set("shared").alias("shared"))  # at most the document's own passages
     full = lines.select("doc_id", "copy", "tokens", "words").join(shared, ["doc_id", "copy"])
-    return full.select("doc_id", "copy", "tokens", "words", "shared").mapInArrow(_align(min_words), BLOCKS)
+    return map_arrow(full.select("doc_id", "copy", "tokens", "words", "shared"), _align(min_words), BLOCKS)
 
 
 def _prepared(docs: DataFrame, min_words: int) -> DataFrame:
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return stored(rows.mapInArrow(_lines(min_words), _LINES).filter(F.size("keys") > 0), "line-keys")
+    return stored(map_arrow(rows, _lines(min_words), _LINES).filter(F.size("keys") > 0), "line-keys")
 
 
 def alignments(docs: DataFrame, min_words: int = 20) -> DataFrame:
@@ -276,7 +276,8 @@ def keep_rest(docs: DataFrame, min_words: int = 20, length: str = "n_chars") ->
 SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 u AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS pos, unnest(ls) AS line FROM t),
-s AS (SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^ 	-]+')) AS words FROM u),
+s AS (SELECT doc_id, pos, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line, len(regexp_extract_all(line, '[^ 	-
+]+')) AS words FROM u),
 k AS (SELECT doc_id, pos, line, words, row_number() OVER w AS k, sum(words) OVER w AS upto FROM s WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 l AS (SELECT doc_id, list(line ORDER BY k) AS lines FROM k GROUP BY doc_id),
 p AS (SELECT a.doc_id, a.k AS lo, min(b.k) AS hi FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 19 AND b.upto - a.upto + a.words >= 20 GROUP BY ALL

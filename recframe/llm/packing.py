@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import encoder
-from .common import slices, texts
+from .common import map_arrow, slices, texts
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, loss_tokens long"
 
@@ -173,4 +173,4 @@ def pack_documents(docs: DataFrame, limit: int = 2048, segments: int = 512, end_
         lay(packer.finish())
         yield table()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return map_arrow(docs.select("doc_id", "text"), run, PIECES)

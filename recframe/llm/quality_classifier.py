@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .training import fold, labelled_sample
 
 #: Bounds: labelled documents to learn from, weights, and words that a worker remembers.
@@ -130,7 +130,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     out.append(_sigmoid(float(w[index] @ x) + w[WEIGHTS]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7, sample: int = SAMPLE) -> DataFrame:

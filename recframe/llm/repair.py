@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import slices, texts
+from .common import map_arrow, slices, texts
 
 FORMAT = "partition int, shard int, n_ids long, base int, width int, doc_ids binary, doc_ends binary, rules binary, lengths binary, symbols binary"
 
@@ -182,7 +182,7 @@ def shard_ids(docs: DataFrame, kind: str = "byte", end_id: int = 0, shard: int =
             yield flush()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return ordered.mapInArrow(run, FORMAT)
+    return map_arrow(ordered, run, FORMAT)
 
 
 def write_ids(docs: DataFrame, path: str, **options) -> None:
@@ -240,5 +240,5 @@ def documents_of(shards: DataFrame) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DOCUMENT.split(", ")])
 
-    found = shards.mapInArrow(run, DOCUMENT).join(places(shards), ["partition", "shard"])
+    found = map_arrow(shards, run, DOCUMENT).join(places(shards), ["partition", "shard"])
     return found.select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Vectors of a shard and queries of a block, on average.
 SHARD, BLOCK = 1 << 15, 256
@@ -134,7 +134,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "embe
     blocks, _ = _parts(queries, BLOCK, queries.count())
     sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("part"), F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("x").alias("qx"))
     pairs = cut(shards).join(sent, "part").select("part", "ids", "dims", "x", "qids", "qdims", "qx").repartition(F.col("part"), F.xxhash64("qids"))
-    best = pairs.mapInArrow(_search(k), RESULT)
+    best = map_arrow(pairs, _search(k), RESULT)
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

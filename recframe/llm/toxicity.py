@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import map_arrow, slices
 from .training import fold, labelled_sample
 
 #: Bounds: labelled documents to learn from, and words that a worker remembers.
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out = [own.score(t or "") for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -193,7 +193,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
+    return map_arrow(numbered, run, numbered.schema).toDF(*docs.columns)
 
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
@@ -211,7 +211,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "first_word", "words", "score", "surprise"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, first_word long, words long, score double, surprise double")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, first_word long, words long, score double, surprise double")
 
 
 def learn(docs: DataFrame, labels: DataFrame | None, folds: int = 5, held_out: int = 0, sample: int = SAMPLE) -> Model:
