@@ -39,7 +39,7 @@ from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
 #: Sets of a component that are compared with one another block in one task; and shingles of a block.
-BLOCK, BLOCK_SHINGLES = 128, 1 << 18
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 _FIRST = "doc_id long, copy long, n long, d1 long, d2 long, ranges binary, chunk int, part long, counts binary"
 
 
@@ -300,8 +300,9 @@ class JaccardJoin:
         full = skewed_join(skewed_join(pairs, one, "a", "b", often), two, "b", "a", often).select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
         return map_arrow(full, _suffix_filter(self.percent), "a long, b long")
 
-    def run(self) -> DataFrame:
-        """(doc_id, n_shingles, component_id, n_links): links are all other documents whose sets are similar enough."""
+    def run(self, count_links: bool = True) -> DataFrame:
+        """(doc_id, n_shingles, component_id, n_links): links are all other documents whose sets are similar enough.
+        ``count_links``: whether they are counted; else the components alone are found, without the column."""
         first = stored(map_arrow(self.docs.withColumn("copy", F.xxhash64("text")), _first_pass(self.words), _FIRST), "jaccard-first")
         digests = first.filter("chunk is null and doc_id is not null").select("doc_id", "copy", "n", "d1", "d2", "ranges")
         versions = cut(digests.groupBy("doc_id").agg(F.min("copy").alias("least"), F.max("copy").alias("most")).filter("least < most").select("doc_id", "least"))
@@ -354,6 +355,7 @@ class JaccardJoin:
                     comp = cut(components(links))
         if comp is None:
             comp = digests.sparkSession.createDataFrame([], "node long, component long")
+        if links is None or not count_links:
             degree = digests.sparkSession.createDataFrame([], "rep long, links long")
         else:
             degree = cut(self._degrees(comp, rep, sets))
@@ -370,9 +372,10 @@ class JaccardJoin:
             often = frequent(digests.filter("n > 0").select(F.col("d1").alias("id")), digests.count())
             out = skewed_join(out, group, "d1", "doc_id", often, "left", ("n", "d2"))
         named = F.col("doc_id").isNotNull()
-        return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+        out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(named, F.coalesce("component", "doc_id")).alias("component_id"), F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).alias("n_links"))
+        return out if count_links else out.drop("n_links")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 90, words: int = 3, turns: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 90, words: int = 3, turns: int = 2, count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id its links reach) and n_links."""
-    return JaccardJoin(docs, percent, words, turns).run()
+    return JaccardJoin(docs, percent, words, turns).run(count_links)
