@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, and all documents without words or id."""
-    gone = jaccard.near_duplicates(docs, percent=80, words=5).filter("doc_id <> component_id").select("doc_id").distinct().toDF("gone")
+    gone = jaccard.near_duplicates(docs, percent=80, words=5, count_links=False).filter("doc_id <> component_id").select("doc_id").distinct().toDF("gone")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
