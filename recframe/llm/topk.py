@@ -1,20 +1,21 @@
 """Exact top-k search by inner product over an impact-ordered index, score at a time.
 
-Vectors of integers are dealt to shards of a fixed size by a hash of their id. A shard's index has for each dimension a
+Vectors of integers are dealt to shards of a fixed average size. A shard's index has for each dimension a
 posting list in descending order of impact, the absolute value. A query visits the posting segments of all
 dimensions in descending impact, one level of |weight x impact| after another, and adds them up. After each level an
 unvisited posting can change a score by less than the level, so each vector's score is known within the level
-times its unvisited dimensions; vectors whose upper bound is below the k-th lower bound are out by proof. When few are
-left, or all postings are visited, those that may be members are scored exactly. Shards give their best k for each
-query, and those meet by query.
-
-The queries are split to blocks, each of which goes to every shard by an equi-join on the shard's number; nothing is
-broadcast, and no row is made for a pair of vectors.
-
-Defined results: a vector that is null or empty, or holds a null or non-finite component or one beyond 2**26 after
-scaling, takes no part; of vectors of different lengths the shorter count as filled up with zeros; rows with equal id
-count once (the least vector), rows with a null id not at all; ties go to the smaller id; other columns are ignored; an
-empty table gives an empty table.
+times its unvisited dimensions, and the rounding of the sums; vectors whose upper bound is below the k-th lower bound are
+out by proof. When few are left, or all postings are visited, those that may be members are scored exactly. Shards give
+their best k for each query, and those meet by query.
+
+The queries are split to blocks, and each shard is followed by the blocks that it answers in one stream: its index is made
+once for up to SLICE blocks and only a block at a time is held beside it. Nothing is broadcast, and no row is made for a
+pair of vectors.
+
+Defined results: a vector that is null, or holds a null or non-finite component, takes no part, and neither does a row with
+a null id; an empty vector has score 0 with all; of vectors of different lengths the shorter count as filled up with zeros;
+rows with equal ids are candidates one by one, but not of each other; ties go to the smaller id; a component of 2**62 or
+more after scaling, or a score beyond 64 bits, is an error; other columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,20 +29,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_arrow
 
-#: Vectors of a shard and queries of a block, on average.
-SHARD, BLOCK = 1 << 15, 256
+#: Vectors of a shard and queries of a block, on average, and blocks that follow one copy of a shard at most.
+SHARD, BLOCK, SLICE = 1 << 15, 256, 64
 RESULT = "query_id long, vec_id long, score long"
+_ROWS = "part int, ids binary, dims int, x binary"
 
 
 def integers(vectors: DataFrame, column: str, scale: int = 256) -> DataFrame:
     """(vec_id, v) of the vectors that take part; each component is floor(scale * x), x as double."""
-    x = F.transform(column, lambda c: F.floor(F.when(F.abs(c.cast("double") * scale) < (1 << 26), c.cast("double") * scale)).cast("int"))
-    usable = F.size("v") > 0, ~F.exists("v", lambda c: c.isNull())
-    return vectors.filter("vec_id is not null").select("vec_id", x.alias("v")).filter(F.col("v").isNotNull() & usable[0] & usable[1]).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def whole(c: Column) -> Column:
+        x = c.cast("double")
+        none = x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+        far = F.raise_error(F.concat(F.lit("a component is too large: "), x.cast("string"))).cast("bigint")
+        return F.when(none, F.lit(None)).when(F.abs(x * scale) < (1 << 62), F.floor(x * scale)).otherwise(far)
+
+    found = vectors.filter("vec_id is not null").select("vec_id", F.transform(column, whole).alias("v"))
+    return found.filter(F.col("v").isNotNull() & ~F.exists("v", lambda c: c.isNull()))
 
 
 def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int32)
+    out = np.zeros((len(vectors), max(map(len, vectors), default=0)), np.int64)
     for k, v in enumerate(vectors):
         out[k, : len(v)] = v
     return out
@@ -50,8 +58,19 @@ def _matrix(vectors: list[np.ndarray]) -> np.ndarray:
 def _blob(key, table):
     ids = np.array(table.column("vec_id").to_pylist(), np.int64)
     x = _matrix(table.column("v").to_pylist())
-    order = np.argsort(ids)
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "dims": pa.array([x.shape[1]], pa.int32()), "x": pa.array([x[order].astype("<i4").tobytes()], pa.binary())})
+    order = np.argsort(ids, kind="stable")
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "dims": pa.array([x.shape[1]], pa.int32()), "x": pa.array([x[order].astype("<i8").tobytes()], pa.binary())})
+
+
+def products(x: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Exact inner products of the rows of ``x`` with ``weight``; in whole numbers of any size where 64 bits may not do."""
+    largest = [max(int(v.max(initial=0)), -int(v.min(initial=0))) for v in (x, weight)]
+    if largest[0] * largest[1] * max(1, len(weight)) < 1 << 63:
+        return x @ weight
+    out = [sum(int(a) * int(b) for a, b in zip(row, weight, strict=True)) for row in x]
+    if any(abs(v) >= 1 << 63 for v in out):
+        raise OverflowError("a score is beyond 64 bits")
+    return np.array(out, np.int64)
 
 
 class Shard:
@@ -69,13 +88,14 @@ class Shard:
         """The best k (score, id) for one query, without the vector ``own``."""
         n, dims = self.x.shape
         dims = min(dims, len(query))
-        weight = query[:dims].astype(np.int64)
+        weight = query[:dims]
         active = np.flatnonzero(weight)
         score, unseen = np.zeros(n), np.full(n, float(len(active)))
         here = self.ids != own
         at = np.zeros(dims, np.int64)
         highest = max((int(-self.impact[d, 0]) * abs(int(weight[d])) for d in active), default=0)
         level = float(highest)
+        rounding = 2.0 * len(active) * len(active) * highest * 2.0**-52  # of sums of so many terms, each rounded as well
         maybe = np.flatnonzero(here)
         self.postings += n * len(active)
         while level > 0.5 and len(maybe) > max(few * k, n // 16):
@@ -93,27 +113,30 @@ class Shard:
             self.visited += len(docs_)
             score += np.bincount(docs_, add_, n)
             unseen -= np.bincount(docs_, minlength=n)
-            slack = level * unseen
+            slack = level * unseen + rounding
             low = (score - slack)[here]
             if len(low) > k:
                 best = np.partition(low, len(low) - k)[len(low) - k]  # k vectors have this much at least
                 maybe = np.flatnonzero(here & (score + slack >= best))
-        exact = self.x[maybe, :dims].astype(np.int64) @ weight
+        exact = products(self.x[maybe, :dims], weight)
         top = np.lexsort((self.ids[maybe], -exact))[:k]
         return [(int(exact[i]), int(self.ids[maybe[i]])) for i in top]
 
 
 def _search(k: int):
+    """Rows (part, slice, kind, ids, dims, x): a shard (kind 0) and then the blocks of queries that it answers (kind 1)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
         for batch in batches:
-            last, index = None, None
             for r in range(batch.num_rows):
-                part, ids, dims, x, qids, qdims, qx = (batch.column(c)[r].as_py() for c in range(7))
-                if part != last or index is None:
-                    own = np.frombuffer(ids, np.int64)
-                    index, last = Shard(own, np.frombuffer(x, "<i4").reshape(len(own), dims)), part
-                names = np.frombuffer(qids, np.int64)
-                rows = [(int(q), i, s) for q, v in zip(names, np.frombuffer(qx, "<i4").reshape(len(names), qdims), strict=True) for s, i in index.search(v, int(q), k)]
+                kind, ids, dims, x = (batch.column(c)[r].as_py() for c in range(2, 6))
+                names = np.frombuffer(ids, np.int64)
+                vectors = np.frombuffer(x, "<i8").reshape(len(names), dims)
+                if kind == 0:
+                    index = Shard(names, vectors)
+                    continue
+                rows = [(int(q), i, s) for q, v in zip(names, vectors, strict=True) for s, i in index.search(v, int(q), k)]
                 columns = zip(*rows, strict=True) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
@@ -121,29 +144,35 @@ def _search(k: int):
 
 
 def _parts(vectors: DataFrame, size: int, n: int) -> tuple[DataFrame, int]:
+    """(part, ids, dims, x), one row for about ``size`` vectors. ``vectors``: checkpointed, so the draw is the same again."""
     count = max(1, -(-n // size))
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    return dealt.groupBy("part").applyInArrow(_blob, "part int, ids binary, dims int, x binary"), count
+    dealt = vectors.withColumn("part", F.floor(F.rand(5) * count).cast("int"))
+    return dealt.groupBy("part").applyInArrow(_blob, _ROWS), count
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, column: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector that ``is_query`` names (by vec_id) the best k of all others."""
     usable = cut(integers(vectors, column, scale))
-    queries = usable.filter(is_query)
+    queries = cut(usable.filter(is_query))
     shards, n_shards = _parts(usable, SHARD, usable.count())
-    blocks, _ = _parts(queries, BLOCK, queries.count())
-    sent = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("part"), F.col("ids").alias("qids"), F.col("dims").alias("qdims"), F.col("x").alias("qx"))
-    pairs = cut(shards).join(sent, "part").select("part", "ids", "dims", "x", "qids", "qdims", "qx").repartition(F.col("part"), F.xxhash64("qids"))
-    best = map_arrow(pairs, _search(k), RESULT)
+    blocks, n_blocks = _parts(queries, BLOCK, queries.count())
+    # fewer blocks to a copy of a shard only where there are too few shards for all cores
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    slices = max(-(-n_blocks // SLICE), min(n_blocks, -(-2 * cores // n_shards)))
+    copies = cut(shards).select("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), "ids", "dims", "x")
+    sent = cut(blocks).select(F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))).alias("to"), F.pmod("part", F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), "ids", "dims", "x")
+    both = copies.unionByName(sent.withColumnRenamed("to", "part"))
+    stream = both.repartition(min(n_shards * slices, 1 << 14), "part", "slice").sortWithinPartitions("part", "slice", "kind")
+    best = map_arrow(stream.select("part", "slice", "kind", "ids", "dims", "x"), _search(k), RESULT)
     by_query = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-#: The same in DuckDB by scoring every pair.
+#: The same in DuckDB by scoring every pair, in whole numbers.
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), 0) AS BIGINT) AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -197,7 +197,7 @@ def test_sql(spark, duck, name):
 
 def test_topk_ties_repeats_and_gaps(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [None, 1.0]), (7, [0.0, 0.0]), (50, [1.0]), (1, [1.0, 0.5]), (None, [9.0, 9.0]), (8, [-1.0, 0.0])]
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, None), (6, [None, 1.0]), (7, [0.0, 0.0]), (50, [1.0]), (None, [9.0, 9.0]), (8, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
     got = {r["query_id"]: [] for r in topk.search(df, F.col("vec_id") % 50 == 0, 3).collect()}
     for r in topk.search(df, F.col("vec_id") % 50 == 0, 3).orderBy("query_id", "rank").collect():
@@ -206,9 +206,35 @@ def test_topk_ties_repeats_and_gaps(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_large_repeated_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 7)
+    monkeypatch.setattr(topk, "BLOCK", 3)
+    monkeypatch.setattr(topk, "SLICE", 2)
+    rng = np.random.default_rng(4)
+    rows = [(k, (rng.normal(size=rng.integers(0, 6)) * 10.0 ** rng.integers(0, 7)).tolist()) for k in range(0, 400, 5)]
+    rows += [(3, [2.0]), (4, [300_000.0]), (4, [300_000.0]), (6, []), (50, [7.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = {}
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w)), i) for p, v in whole if p == q for i, w in whole if i != q]  # noqa: B905
+        want[q] = [(i, -s) for s, i in sorted(scores)[:5]]
+    got = defaultdict(list)
+    for r in topk.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == want
+    big = spark.createDataFrame([(0, [2.0**26, 1.0]), (1, [2.0**26 - 1, 3.0])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.search(big, F.col("vec_id") == 0).collect()
+    near = spark.createDataFrame([(0, [2.0**22, 1.0]), (1, [2.0**22 - 1, 3.0]), (2, [2.0**22, 1.5]), (3, [2.0**22, 1.25])], "vec_id bigint, embedding array<double>")
+    assert {r["vec_id"]: (r["rank"], r["score"]) for r in topk.search(near, F.col("vec_id") == 0).collect()} == {2: (1, 2**60 + 256 * 384), 3: (2, 2**60 + 256 * 320), 1: (3, 2**30 * (2**30 - 256) + 256 * 768)}
+    with pytest.raises(Exception, match="too large"):
+        topk.search(spark.createDataFrame([(0, [1e30])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
 def test_topk_stops_by_proof():
     rng = np.random.default_rng(3)
-    x = rng.integers(-60, 60, (4000, 32)).astype(np.int32)
+    x = rng.integers(-60, 60, (4000, 32)).astype(np.int64)
     x[:50] = x[0] + rng.integers(-3, 3, (50, 32))
     index = topk.Shard(np.arange(4000), x)
     want = x.astype(np.int64) @ x[0].astype(np.int64)
