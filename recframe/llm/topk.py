@@ -3,8 +3,8 @@
 Vectors of integers are dealt to shards of a fixed average size. A shard's index has for each dimension a
 posting list in descending order of impact, the absolute value. A query visits the posting segments of all
 dimensions in descending impact, one level of |weight x impact| after another, and adds them up. After each level an
-unvisited posting can change a score by less than the level, so each vector's score is known within the level
-times its unvisited dimensions, and the rounding of the sums; vectors whose upper bound is below the k-th lower bound are
+unvisited posting can change a score by less than the level, or than its dimension's highest impact, so each vector's score
+is known within the sum of these over its unvisited dimensions, and the rounding of the sums; vectors whose upper bound is below the k-th lower bound are
 out by proof. When few are left, or all postings are visited, those that may be members are scored exactly. Shards give
 their best k for each query, and those meet by query.
 
@@ -79,26 +79,30 @@ class Shard:
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x
         size = np.abs(x)
-        self.order = np.argsort(-size, axis=0, kind="stable").astype(np.int32).T.copy()
+        self.order = np.argsort(-size, axis=0, kind="stable").T.copy()
         self.impact = -np.take_along_axis(size, self.order.T, 0).T  # ascending, as negatives, for searchsorted
         self.value = np.take_along_axis(x, self.order.T, 0).T.astype(np.float64)
         self.visited = self.postings = 0
 
-    def search(self, query: np.ndarray, own: int, k: int, step: float = 0.6, few: int = 16) -> list[tuple[int, int]]:
-        """The best k (score, id) for one query, without the vector ``own``."""
+    def search(self, query: np.ndarray, own: int, k: int, step: float = 0.25) -> list[tuple[int, int]]:
+        """The best k (score, id) for one query, without the vector ``own``.
+
+        Of a dimension whose highest impact is below the level nothing has been visited, and no posting can add more than
+        that impact; of the others an unvisited posting can add less than the level.
+        """
         n, dims = self.x.shape
         dims = min(dims, len(query))
         weight = query[:dims]
         active = np.flatnonzero(weight)
-        score, unseen = np.zeros(n), np.full(n, float(len(active)))
+        top = np.array([int(-self.impact[d, 0]) * abs(int(weight[d])) for d in active], float)
+        score, seen = np.zeros(n), np.zeros(n)
         here = self.ids != own
         at = np.zeros(dims, np.int64)
-        highest = max((int(-self.impact[d, 0]) * abs(int(weight[d])) for d in active), default=0)
-        level = float(highest)
+        level = highest = float(top.max(initial=0))
         rounding = 2.0 * len(active) * len(active) * highest * 2.0**-52  # of sums of so many terms, each rounded as well
         maybe = np.flatnonzero(here)
         self.postings += n * len(active)
-        while level > 0.5 and len(maybe) > max(few * k, n // 16):
+        while level > 0.5 and len(maybe) > max(16 * k, n // 4):  # beyond that, scoring the rest exactly is the shorter way
             level = level * step if level > 1 else 0.5
             docs, add = [], []
             for d in active:
@@ -112,15 +116,16 @@ class Shard:
             docs_, add_ = np.concatenate(docs), np.concatenate(add)
             self.visited += len(docs_)
             score += np.bincount(docs_, add_, n)
-            unseen -= np.bincount(docs_, minlength=n)
-            slack = level * unseen + rounding
+            seen += np.bincount(docs_, minlength=n)
+            open_ = top >= level
+            slack = level * (int(open_.sum()) - seen) + (float(top[~open_].sum()) + rounding)
             low = (score - slack)[here]
             if len(low) > k:
                 best = np.partition(low, len(low) - k)[len(low) - k]  # k vectors have this much at least
                 maybe = np.flatnonzero(here & (score + slack >= best))
         exact = products(self.x[maybe, :dims], weight)
-        top = np.lexsort((self.ids[maybe], -exact))[:k]
-        return [(int(exact[i]), int(self.ids[maybe[i]])) for i in top]
+        found = np.lexsort((self.ids[maybe], -exact))[:k]
+        return [(int(exact[i]), int(self.ids[maybe[i]])) for i in found]
 
 
 def _search(k: int):
