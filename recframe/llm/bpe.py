@@ -321,6 +321,31 @@ class SpeculativeBpe:
         return out
 
 
+#: Classes of bytes: ASCII letters, digits and marks other than the apostrophe; 0 for all others.
+_CLASS = np.zeros(256, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 3
+
+
+def class_cuts(data: np.ndarray) -> np.ndarray:
+    """Where, before a byte, the class changes between two that are letters, digits or marks: no pre-token lies across.
+
+    A contraction begins with an apostrophe, so none is cut; where "<|" may begin a special token's text, the bytes up to the
+    next white space on either side stay together.
+    """
+    kind = _CLASS[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+    special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    if len(special):
+        blank = np.concatenate(([-1], np.flatnonzero(_SPACE[data] | (data < 33)), [len(data)]))
+        after = np.searchsorted(blank, special)
+        for lo, hi in sorted(set(zip(blank[after - 1].tolist(), blank[after].tolist(), strict=True))):
+            cut[lo + 1 : hi] = False
+    return cut
+
+
 class _Encoder:
     """Whole texts to ids through a memory of units (words) whose encodings don't depend on what stands around them."""
 
@@ -328,6 +353,8 @@ class _Encoder:
     mark, gap = "", b"\xff\xff\xff\xff"
     odd: re.Pattern
     parts_of: regex.Pattern
+    #: Whether a unit holds the space before it.
+    spaced = False
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -347,6 +374,10 @@ class _Encoder:
         """(starts, ends) of the units in the bytes of several texts, each of which stands before one of ``ends``."""
         raise NotImplementedError
 
+    def learn_plain(self, missing: list[bytes]) -> list[bytes]:
+        """Encodes units that are one pre-token each."""
+        return self.bpe.encode(missing)
+
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Encodes units that aren't remembered: plain ones by proposal and check, all others by the library."""
         text = self.mark.encode().join(missing).decode("utf-8", "replace")
@@ -362,7 +393,10 @@ class _Encoder:
                 self.parts = {self.mark: self.gap}
                 names = list(set(parts).difference(self.parts))
             self.parts.update(zip(names, self.bpe.encode([p.encode() for p in names]), strict=True))
-            found.update(zip(plain, b"".join(map(self.parts.__getitem__, parts)).split(self.gap), strict=True))
+            told = b"".join(map(self.parts.__getitem__, parts)).split(self.gap)
+            if plain is missing:
+                return told
+            found.update(zip(plain, told, strict=True))
         if rest := [u for u in missing if u not in found]:
             self.by_library += len(rest)
             for unit, e in zip(rest, self.library.encode_batch_fast([u.decode("utf-8", "replace") for u in rest], add_special_tokens=False), strict=True):
@@ -412,10 +446,22 @@ class _Encoder:
         to = 4 * upto[np.searchsorted(begin, ends, side="left")]
         return [flat[i:j] for i, j in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
+    def plain(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which units are one ASCII pre-token each: a run of letters, digits or marks, after a space or not."""
+        odd = _CLASS[data] == 0
+        odd[: len(data) - 1] |= (data[:-1] == 60) & (data[1:] == 124)  # may begin a special token's text
+        upto = np.concatenate(([0], np.cumsum(odd)))
+        return upto[end] - upto[begin + self.spaced * (data[np.minimum(begin, len(data) - 1)] == 32)] == 0
+
     def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Encodes units and keeps their ids and bytes; their numbers in the memory."""
-        units = [data[i:j].tobytes() for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-        told = self.learn(units)
+        raw = data.tobytes()
+        units = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        plain = self.plain(data, begin, end)
+        told = [b""] * len(units)
+        for which, encode in ((np.flatnonzero(plain).tolist(), self.learn_plain), (np.flatnonzero(~plain).tolist(), self.learn)):
+            for k, ids in zip(which, encode([units[k] for k in which]) if which else [], strict=True):
+                told[k] = ids
         size = np.fromiter(map(len, told), np.int64, len(told)) // 4
         number = np.arange(len(self.start), len(self.start) + len(told))
         self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
@@ -447,7 +493,8 @@ class _Encoder:
 
 
 class WordEncoder(_Encoder):
-    """The lower-casing vocabulary with word ends. White space separates units: no pre-token and no normal form crosses it."""
+    """The lower-casing vocabulary with word ends. Units are separated by white space, which no pre-token and no normal form
+    crosses, and where the class of ASCII characters changes."""
 
     mark = "\n"
     odd = re.compile("[^\n!-~\xa1-\xac\xae-\u024f]|<\\|")
@@ -461,19 +508,29 @@ class WordEncoder(_Encoder):
         word = ~_SPACE[data]
         edge = np.zeros(len(data) + 1, bool)  # where a text begins
         edge[ends] = True
-        begin = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & edge[:-1]) if len(data) else np.zeros(0, np.int64)
-        end = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1 if len(data) else begin
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        digit = _CLASS[data] == 2
+        edge |= class_cuts(data)
+        edge[1:-1] |= digit[1:] & digit[:-1]  # each digit is a pre-token
+        begin = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & edge[:-1])
+        end = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1
         return begin, end
 
+    def learn_plain(self, missing: list[bytes]) -> list[bytes]:
+        return self.bpe.encode([u.lower() for u in missing])
+
     def decode_table(self) -> list[str]:
         size = self.library.get_vocab_size(with_added_tokens=True)
         return [self.library.id_to_token(i) or "" for i in range(size)]
 
 
 class ByteEncoder(_Encoder):
-    """The byte-level vocabulary. Units begin at a single space between two characters that aren't white space."""
+    """The byte-level vocabulary. Units begin at a single space between two characters that aren't white space, and where the
+    class of ASCII characters changes."""
 
     mark = "\x01"
+    spaced = True
     odd = re.compile("[^\x01\t\n\r -~\xa1-\xac\xae-\u024f]|<\\||\\s\\s|\\s(?:\x01|\\Z)")
     parts_of = regex.compile(r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?!\S)|\s+")
     wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")  # bytes of white space beyond ASCII
@@ -486,6 +543,7 @@ class ByteEncoder(_Encoder):
         blank = self.space[data]
         cut = np.zeros(n + 1, bool)
         cut[1 : n - 1] = (data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
+        cut |= class_cuts(data)
         for m in self.wide.finditer(data):  # a text's part around such bytes stays whole
             cut[max(0, m.start() - 2) : m.end() + 2] = False
         cut[0] = True
