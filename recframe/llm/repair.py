@@ -3,7 +3,8 @@
 A directory written by ``write_ids`` holds the ids of all documents in ascending
 doc_id order. Its rows are shards of about a million ids of whole documents:
 
-- ``partition``, ``shard``: place in the order; ``n_ids``: ids in the shard
+- ``partition``, ``shard``: place in the order; ``n_ids``: ids in the shard; ``n_null``: documents without an id, which
+  stand first
 - ``doc_ids``: int64 each; ``doc_ends``: int64 each, symbols up to each document's end
 - ``rules``: uint32 pairs; rule k stands for its two symbols, and its own symbol is ``base`` + k
 - ``lengths``: uint32 each, how many ids rule k expands to
@@ -17,7 +18,7 @@ run of overlapping occurrences every second is replaced. Rounds go on until no
 pair inside a document is frequent; symbols are 32 bits wide where 16 run out.
 
 Defined results: null and empty texts hold the end id alone; rows with equal
-doc_id stand next to each other, and rows with a null doc_id first; other columns
+doc_id stand next to each other, by the hash of their texts, and rows with a null doc_id first; other columns
 are ignored; an empty table gives an empty directory that reads as no rows.
 """
 
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from .bpe import encoder
 from .common import map_arrow, slices, texts
 
-FORMAT = "partition int, shard int, n_ids long, base int, width int, doc_ids binary, doc_ends binary, rules binary, lengths binary, symbols binary"
+FORMAT = "partition int, shard int, n_ids long, n_null int, base int, width int, doc_ids binary, doc_ends binary, rules binary, lengths binary, symbols binary"
 
 
 @dataclass
@@ -99,19 +101,21 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
     symbols, rules, lengths, next_symbol = ids.astype(np.uint64), [], [np.zeros(0, np.int64)], base
     bits = 20
     done = 0
-    while len(symbols) > 1 and done != rounds:
+    at = np.flatnonzero(doc[1:] == doc[:-1])  # where a pair begins that may be frequent
+    while len(at) and done != rounds:
         done += 1
-        inside = doc[1:] == doc[:-1]
-        pair = symbols[:-1] << np.uint64(32) | symbols[1:]
-        bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        # no pair in a light bucket is frequent enough
-        heavy = np.bincount(bucket[inside], minlength=1 << bits) >= least
-        at = np.flatnonzero(inside & heavy[bucket])
-        found, back, n = np.unique(pair[at], return_inverse=True, return_counts=True)
-        often = n >= least
-        at, back = at[often[back]], back[often[back]]
+        pair = symbols[at] << np.uint64(32) | symbols[at + 1]
+        if len(at) > 1 << 16:  # no pair in a light bucket is frequent enough
+            bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+            heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
+            at, pair = at[heavy], pair[heavy]
+        back, found = pd.factorize(pair)
+        n = np.bincount(back, minlength=len(found))
+        often = n[back] >= least
+        at, back = at[often], back[often]
         if not len(at):
             break
+        candidates = at
         # Of pairs that overlap, the more frequent one wins; equal ones: every second from the left.
         weight = n[back]
         touch = at[1:] == at[:-1] + 1
@@ -138,7 +142,18 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         symbols[at] = (next_symbol + code[back]).astype(np.uint64)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, doc = symbols[stay], doc[stay]
+        # A pair of older symbols can only become rarer: next are those that were frequent, and those of the new symbols.
+        ask = np.zeros(len(symbols), bool)
+        ask[candidates] = True
+        ask[at] = True
+        before = at - 1
+        before = before[before >= 0]
+        ask[before] = True
+        gone = before[~stay[before]]  # the second half of another replaced pair: its first half is what now stands before
+        ask[gone - 1] = True
+        symbols, doc, ask = symbols[stay], doc[stay], ask[stay]
+        at = np.flatnonzero(ask[:-1])
+        at = at[doc[at + 1] == doc[at]]
         next_symbol += len(new)
     return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols.astype(np.int64)), doc
 
@@ -162,8 +177,8 @@ def shard_ids(docs: DataFrame, kind: str = "byte", end_id: int = 0, shard: int =
             g, doc = compress(np.frombuffer(b"".join(parts), "<u4"), np.repeat(np.arange(len(n)), n), base)
             ends = np.cumsum(np.bincount(doc, minlength=len(n)))
             width = 2 if base + len(g.rules) <= 1 << 16 else 4
-            row = [partition, serial, int(n.sum()), base, width, np.array([-(1 << 63) if x is None else x for x in names], "<i8").tobytes(), ends.astype("<i8").tobytes(), g.rules.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), g.symbols.astype(f"<u{width}").tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
+            row = [partition, serial, int(n.sum()), names.count(None), base, width, np.array([0 if x is None else x for x in names], "<i8").tobytes(), ends.astype("<i8").tobytes(), g.rules.astype("<u4").tobytes(), g.lengths.astype("<u4").tobytes(), g.symbols.astype(f"<u{width}").tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()] + [pa.binary()] * 5
             names.clear()
             parts.clear()
             held, serial = 0, serial + 1
@@ -181,7 +196,8 @@ def shard_ids(docs: DataFrame, kind: str = "byte", end_id: int = 0, shard: int =
         if names:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("copy"))
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "copy").select("doc_id", "text")
     return map_arrow(ordered, run, FORMAT)
 
 
@@ -211,16 +227,30 @@ def places(shards: DataFrame) -> DataFrame:
 DOCUMENT = "partition int, shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def decode_shard(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
-    """(doc_id, ids) of each document of a shard's row, each decoded from its own symbols."""
+def _grammar(row: dict) -> Grammar:
     rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-    g = Grammar(row["base"], rules, np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["symbols"], f"<u{row['width']}"))
-    table = g.expansions()
-    begin = 0
-    ids = np.frombuffer(row["doc_ids"], "<i8").tolist()
-    for doc_id, end in zip(ids, np.frombuffer(row["doc_ends"], "<i8").tolist(), strict=True):
-        yield (None if doc_id == -(1 << 63) else doc_id), g.expand(g.symbols[begin:end], table)
-        begin = end
+    return Grammar(row["base"], rules, np.frombuffer(row["lengths"], "<u4").astype(np.int64), np.frombuffer(row["symbols"], f"<u{row['width']}"))
+
+
+def _names(row: dict) -> list[int | None]:
+    return [None] * row["n_null"] + np.frombuffer(row["doc_ids"], "<i8").tolist()[row["n_null"] :]
+
+
+def decode_one(row: dict, number: int) -> np.ndarray:
+    """The ids of one document of a shard's row, by its number there: from its own symbols and the rules alone."""
+    g = _grammar(row)
+    ends = np.frombuffer(row["doc_ends"], "<i8")
+    return g.expand(g.symbols[ends[number - 1] if number else 0 : ends[number]], g.expansions())
+
+
+def decode_shard(row: dict) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, ids) of all documents of a shard's row; the shard is expanded at once and cut by the symbols' lengths."""
+    g = _grammar(row)
+    flat = g.expand(g.symbols, g.expansions())
+    upto = np.concatenate(([0], np.cumsum(g.sizes(g.symbols))))
+    ends = upto[np.frombuffer(row["doc_ends"], "<i8")].tolist()
+    for doc_id, begin, end in zip(_names(row), [0, *ends], ends, strict=False):
+        yield doc_id, flat[begin:end]
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
@@ -235,7 +265,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
                 row = {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
                 at, out = 0, []
                 for doc_id, ids in decode_shard(row):
-                    out.append((row["partition"], row["shard"], doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    out.append((row["partition"], row["shard"], doc_id, at, len(ids), zlib.crc32(ids.astype("<u4", copy=False).data)))
                     at += len(ids)
                 kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in DOCUMENT.split(", ")])

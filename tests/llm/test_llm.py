@@ -16,7 +16,7 @@ from recframe.llm import bpe, bpe_codec, common, jaccard, line_dedup, packing, q
 from recframe.llm.bpe import BYTE_BPE, WORD_BPE, default_path, encoder
 
 DATA = "/root/testdata/sf0.001"
-ODD = [None, "", " ", "a", "\n\n", "Hello<|endoftext|>wörld", "a\x0bb\x0cc", " x  y\n z ", "½² don't I'LL", "ÉCOLE İstanbul ẞ 北京 é", "a \n b", "tab\tq  \t z", "x" * 5000, "naïve ﬁ ǆ ​　q", "the same text", "the same text", "\x01 a\x00b", "word " * 3000]
+ODD = [None, "", " ", "a", "\n\n", "Hello<|endoftext|>wörld", "a\x0bb\x0cc", " x  y\n z ", "½² don't I'LL", "ÉCOLE İstanbul ẞ 北京 é", "a \n b", "tab\tq  \t z", "x" * 5000, "naïve ﬁ ǆ ​　q", "the same text", "the same text", "\x01 a\x00b", "word " * 3000, "a1b2,c(d)e 12345 3.14 x's1 'rest don't) \"'s (I'll) a<|b <|endoftext|>c1 d<|endoftext|> é1a,b 1é", "MIXED Case99 9th u.s.a. <| |> <|x1,y"]
 SCHEMA = "doc_id bigint, text string, lang string, kept int, toxic string, ids string"
 
 
@@ -154,10 +154,22 @@ def test_grammar_odd(spark, odd, empty, tmp_path):
     repair.write_ids(odd, f"{tmp_path}/ids")
     out = repair.documents_of(repair.read_ids(spark, f"{tmp_path}/ids")).collect()
     assert len(out) == odd.count()
+    for shard in repair.read_ids(spark, f"{tmp_path}/ids").collect():
+        whole = list(repair.decode_shard(shard.asDict()))
+        assert all((repair.decode_one(shard.asDict(), k) == ids).all() for k, (_, ids) in enumerate(whole))
     repair.write_ids(empty, f"{tmp_path}/none")
     assert repair.documents_of(repair.read_ids(spark, f"{tmp_path}/none")).count() == 0
 
 
+def test_grammar_repeated_ids(spark, tmp_path):
+    rows = [(k % 3, f"text {k} " * (k + 1)) for k in range(30)] + [(-(1 << 63), "least"), (None, "none"), (None, None)]
+    got = []
+    for k in (1, 5):
+        repair.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(k), f"{tmp_path}/{k}")
+        got.append(sorted(map(tuple, repair.documents_of(repair.read_ids(spark, f"{tmp_path}/{k}")).collect()), key=lambda r: r[1]))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [None, None, -(1 << 63), *[0] * 10, *[1] * 10, *[2] * 10]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3000])
 def test_grammar_random_access(n):
     rng = np.random.default_rng(n)
