@@ -108,17 +108,21 @@ def _with_counts(rows: DataFrame) -> DataFrame:
 
     m = F.size("windows")
 
+    # few windows have a neighbour of the same hash: only those, and these neighbours, are compared by their words
+    none = F.array().cast("array<int>")
+    rows = rows.withColumn("touch", F.when(m >= 2, F.filter(F.sequence(F.lit(1), m - 1), lambda k: alike(k - 1, k))).otherwise(none))
+
     def again(k: Column) -> Column:
         anywhere = F.exists(F.sequence(F.lit(0), m - 1), lambda j: (j != k) & alike(j, k) & equal(j, k))
-        return F.when(alike(k - 1, k) & equal(k - 1, k), True).when(alike(k + 1, k) & equal(k + 1, k), True).when(alike(k - 1, k) | alike(k + 1, k), anywhere).otherwise(False)
+        return F.when(alike(k - 1, k) & equal(k - 1, k), True).when(alike(k + 1, k) & equal(k + 1, k), True).otherwise(anywhere)
 
-    repeated = F.when(m >= 2, F.transform(F.filter(F.sequence(F.lit(0), m - 1), again), place)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("starts", F.sort_array(repeated))
+    asked = F.array_distinct(F.concat("touch", F.transform("touch", lambda k: k - 1)))
+    rows = rows.withColumn("starts", F.sort_array(F.transform(F.filter(asked, again), place)))
     s = F.size("starts")
     steps = F.aggregate(F.sequence(F.lit(1), s - 1), F.lit(3), lambda a, k: a + F.least(F.lit(3), F.get("starts", k) - F.get("starts", k - 1)))
     rows = rows.withColumn("n_repeat_words", F.when(s == 0, 0).when(s == 1, 3).otherwise(steps).cast("long"))
     rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    return rows.drop("lines", "bits", "windows", "starts")
+    return rows.drop("lines", "bits", "windows", "touch", "starts")
 
 
 def _shares(counts: str) -> Column:
