@@ -98,13 +98,13 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
     ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement, None: until no
     pair inside a document is frequent.
     """
-    symbols, rules, lengths, next_symbol = ids.astype(np.uint64), [], [np.zeros(0, np.int64)], base
+    symbols, doc, rules, lengths, next_symbol = ids.astype(np.uint32), doc.astype(np.int32), [], [np.zeros(0, np.int64)], base
     bits = 20
     done = 0
     at = np.flatnonzero(doc[1:] == doc[:-1])  # where a pair begins that may be frequent
     while len(at) and done != rounds:
         done += 1
-        pair = symbols[at] << np.uint64(32) | symbols[at + 1]
+        pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         if len(at) > 1 << 16:  # no pair in a light bucket is frequent enough
             bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
             heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
@@ -139,7 +139,7 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         size = np.where(new < base, 1, known[np.where(new < base, 0, new - base)] if len(known) else 1).sum(1)
         rules.append(new)
         lengths.append(size)
-        symbols[at] = (next_symbol + code[back]).astype(np.uint64)
+        symbols[at] = (next_symbol + code[back]).astype(np.uint32)
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         # A pair of older symbols can only become rarer: next are those that were frequent, and those of the new symbols.
