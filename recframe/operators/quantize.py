@@ -49,6 +49,12 @@ def packed_nibbles(q: Column) -> Column:
     return F.zip_with(even, odd, lambda a, b: (a + 16 * F.coalesce(b, F.lit(0))).cast("smallint"))
 
 
+def unpacked_nibbles(packed: Column, n: int) -> Column:
+    """The ``n`` codes that ``packed_nibbles`` has put two to a byte."""
+    both = F.flatten(F.transform(packed, lambda x: F.array((x % 16).cast("smallint"), F.floor(x / 16).cast("smallint"))))
+    return F.slice(both, 1, n)
+
+
 def errors(original: DataFrame, restored: DataFrame) -> DataFrame:
     """(mse, mae, max_error, relative): over all components; relative is |difference| over |original|, a plain ratio."""
     both = original.select("id", F.col("vec").alias("a")).join(restored.select("id", F.col("vec").alias("b")), "id")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recframe.functions import scalar as fx
-from recframe.operators import dictionary, interact, logs, lookup, metrics, optim, profile, quantize, splits, synth, trace
+from recframe.operators import dictionary, interact, logs, lookup, metrics, model, optim, profile, quantize, splits, synth, trace
 from recframe.plans import layout
 from recframe.session import table
 from recframe.sources import clicks
@@ -824,6 +824,83 @@ def memory_rollup(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("config"), logs.to_bytes(text).alias("b")).groupBy("config").agg(F.sum("b").alias("bytes"))
 
 
+# The whole model
+
+
+def _forward_layers() -> tuple[list, list]:
+    """Bottom layers 4 -> 4 and top layers 7 -> 3 -> 1 with weights that follow from their places."""
+    bottom = [([[((3 * i + 5 * j) % 7 - 3) / 4 for j in range(4)] for i in range(4)], [0.1, 0.0, -0.1, 0.2])]
+    top = [([[((2 * i + 3 * j) % 5 - 2) / 8 for j in range(7)] for i in range(3)], [0.2, 0.1, 0.0]), ([[1.5, -1.0, 0.5]], [-0.1])]
+    return bottom, top
+
+
+def _layer_sql(layer, x: str, relu: bool = True) -> str:
+    rows = [f"list_dot_product({x}, [{', '.join(f'CAST({w} AS DOUBLE)' for w in row)}]) + ({b})" for row, b in zip(*layer, strict=True)]
+    return "[" + ", ".join(f"greatest(0, {r})" if relu else r for r in rows) + "]"
+
+
+def _forward_sql(last: str) -> str:
+    bottom, top = _forward_layers()
+    return (
+        f"WITH {_DENSE_SQL}, e AS (SELECT vec_id AS id, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE)) AS v FROM embeddings), "
+        f"r AS (SELECT s.event_id, s.y, {_layer_sql(bottom[0], '[x0, x1, x2, x3]')} AS b, e0.v AS f0, list_transform(list_zip(e1.v, e2.v), lambda q: q[1] + q[2]) AS f1 FROM s JOIN events USING (event_id) "
+        "JOIN e e0 ON e0.id = user_id % (SELECT count(*) FROM embeddings) JOIN e e1 ON e1.id = event_id % 16 JOIN e e2 ON e2.id = event_id % 5), "
+        "z AS (SELECT event_id, y, list_concat(b, [list_dot_product(f0, b), list_dot_product(f1, b), list_dot_product(f1, f0)]) AS z FROM r), "
+        f"h AS (SELECT event_id, y, {_layer_sql(top[0], 'z')} AS h FROM z), p AS (SELECT event_id, y, round(greatest(0.01, least(1 / (1 + exp(-{_layer_sql(top[1], 'h', False)}[1])), 0.99)), 6) AS p FROM h) {last}"
+    )
+
+
+def _forward(spark, d) -> DataFrame:
+    n = _n_vectors(spark, d)
+    rows = _dense(spark, d).select(F.col("event_id").alias("row_id"), F.col("x").alias("dense"), "y")
+    ids = F.array(*[F.struct(F.lit(f).alias("feature"), i.alias("id")) for f, i in ((0, fx.hash_cap(F.col("user_id"), n)), (1, F.pmod("event_id", F.lit(16))), (1, F.pmod("event_id", F.lit(5))))])
+    bags = table(spark, d, "events").select(F.col("event_id").alias("row_id"), F.explode(ids).alias("x")).select("row_id", "x.feature", "x.id")
+    tables = _vectors(spark, d).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("feature"), "id", F.slice("vec", 1, 4).alias("vec"))
+    bottom, top = _forward_layers()
+    return model.forward(rows, bags, tables, [0, 1], 4, bottom, top, threshold=0.01).select(F.col("row_id").alias("event_id"), "y", F.round("p", 6).alias("p"))
+
+
+@query(_forward_sql("SELECT event_id, y, p FROM p"))
+def model_forward(spark, d):
+    return _forward(spark, d)
+
+
+@query(
+    _forward_sql(
+        ", c AS (SELECT count(*) AS n, count(*) FILTER (round_even(p, 0) = y) AS ok, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss FROM p), "
+        "a AS (SELECT sum(CASE WHEN p1.p > p2.p THEN p1.n * p2.n ELSE p1.n * p2.n / 2.0 END) / ((SELECT sum(y) FROM p) * (SELECT sum(1 - y) FROM p)) AS auc FROM (SELECT p, count(*) AS n FROM p WHERE y = 1 GROUP BY p) p1 JOIN (SELECT p, count(*) AS n FROM p WHERE y = 0 GROUP BY p) p2 ON p1.p >= p2.p) "
+        "SELECT n, round(ok / n, 6) AS accuracy, round(loss, 6) AS log_loss, round(auc, 6) AS auc FROM c, a"
+    )
+)
+def model_metrics(spark, d):
+    scored = _forward(spark, d)
+    one = metrics.classification(scored).select("n", F.round("accuracy", 6).alias("accuracy"))
+    loss = metrics.log_loss(scored).select(F.round("log_loss", 6).alias("log_loss"))
+    return one.crossJoin(loss).crossJoin(metrics.roc_auc(scored).select(F.round("auc", 6).alias("auc")))  # one row each
+
+
+@query("SELECT 0 AS feature, max(user_id) + 1 AS n FROM events UNION ALL SELECT 1, max(l_partkey) + 1 FROM lineitem")
+def table_sizes(spark, d):
+    return model.table_sizes(_users(spark, d).unionByName(table(spark, d, "lineitem").select(F.lit(1).alias("feature"), F.col("l_partkey").alias("id"))))
+
+
+@query("SELECT event_id // 100 AS batch_id, count(*) AS n FROM events WHERE event_id // 100 < 7 GROUP BY 1")
+def limited_batches(spark, d):
+    rows = splits.batches(table(spark, d, "events").select(F.col("event_id").alias("row_id")), 100)
+    return model.limited(rows, 7).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH {_USERS}, r AS (SELECT id, CAST(x.lo AS DOUBLE) AS lo, CASE WHEN x.hi > x.lo THEN (x.hi - x.lo) / 15 ELSE 1.0 END AS scale FROM (SELECT vec_id AS id, {{'lo': CAST(list_min(embedding) AS DOUBLE), 'hi': CAST(list_max(embedding) AS DOUBLE)}} AS x FROM embeddings)), "
+    f"{_CELLS}, z AS (SELECT id, i, round_even((x - lo) / scale, 0) * scale + lo AS x FROM e JOIN r USING (id)), p AS (SELECT row_id, i, sum(x) AS x FROM b JOIN z USING (id) GROUP BY row_id, i) {_digest_sql('p')}"
+)
+def quantized_lookup_4bit(spark, d):
+    """Codes packed two to a byte, and unpacked where they are looked up."""
+    codes = quantize.quantize_low(_vectors(spark, d), 4)
+    stored = codes.select("id", quantize.packed_nibbles(F.col("q")).alias("q"), "scale", "low")
+    return _digest(lookup.quantized_bag(_user_bags(spark, d), stored.withColumn("q", quantize.unpacked_nibbles(F.col("q"), DIM)), DIM))
+
+
 # Synthetic data and streams (no SQL counterpart: the same seeds, or Spark's own streaming engine)
 
 

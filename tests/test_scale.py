@@ -70,3 +70,26 @@ def test_streams_equal_batch(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, make(batch).collect()))
     closed = streams.drain(streams.sessions(stream), f"t-{rng.integers(1 << 40)}").collect()
     assert set(map(tuple, closed)) < set(map(tuple, streams.sessions(batch).collect()))
+
+
+def test_layer_sizes_and_widths(spark):
+    from recframe.operators import model
+
+    assert model.layer_sizes("13-512-64", 13, 64) == [13, 512, 64]
+    for bad in ("", "4-", "4-x", "4-0"):
+        with pytest.raises(ValueError):
+            model.layer_sizes(bad)
+    with pytest.raises(ValueError, match="ends"):
+        model.layer_sizes("4-3", 4, 2)
+    # the smallest shape: tables of 4 and 3 rows, width 2, one row without ids
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0])], "row_id int, dense array<double>")
+    bags = spark.createDataFrame([(0, 0, 1), (0, 0, 3), (0, 1, 2)], "row_id int, feature int, id int")
+    tables = spark.createDataFrame([(f, i, [float(i), f + 1.0]) for f, n in ((0, 4), (1, 3)) for i in range(n)], "feature int, id int, vec array<double>")
+    one = [([[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0])]
+    top = [([[0.1, 0.2, 0.3, -0.1, 0.05]], [0.0])]
+    got = {r["row_id"]: r["p"] for r in model.forward(rows, bags, tables, [0, 1], 2, one, top).collect()}
+    x = np.array([1.0, 2.0]), np.array([4.0, 2.0]), np.array([2.0, 2.0])
+    z = [*x[0], x[1] @ x[0], x[2] @ x[0], x[2] @ x[1]]
+    assert np.isclose(got[0], 1 / (1 + np.exp(-np.dot(z, top[0][0][0])))) and np.isclose(got[1], 1 / (1 + np.exp(-0.05)))
+    with pytest.raises(ValueError):
+        model.forward(rows, bags, tables, [0, 1], 2, one, [([[0.1]], [0.0])])
