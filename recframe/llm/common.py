@@ -201,6 +201,15 @@ def frequent(ids: DataFrame, total: int, hot: int = 1024, least: int = 256) -> l
     return [(r["id"], -(-r["n"] // share)) for r in rows]
 
 
+#: Rows, of a few numbers each, up to which a counted table is broadcast: some megabytes.
+SMALL = 1 << 16
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` short rows, to be broadcast if these are few."""
+    return F.broadcast(df) if n <= SMALL else df
+
+
 def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, often: list[tuple[int, int]], how: str = "inner", also: tuple[str, ...] = ()) -> DataFrame:
     """``left`` joined with ``right``, which has one row for each value of ``key`` (and the columns ``also``).
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, frequent, map_arrow, ngram_hashes, sets_of, skewed_join, slices, stored, texts, words_of
+from .common import cut, dropped, frequent, map_arrow, ngram_hashes, sets_of, skewed_join, slices, SMALL, small, stored, texts, words_of
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
@@ -275,9 +275,9 @@ class JaccardJoin:
         asked = self.docs.filter("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
         return map_arrow(asked, _set_rows(self.words, bits), "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
-    def _links(self, pairs: DataFrame, sets: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
-        """The pairs that whole sets confirm."""
-        full = skewed_join(pairs, sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a", often)
+    def _links(self, pairs: DataFrame, n: int, sets: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
+        """The ``n`` pairs that whole sets confirm."""
+        full = skewed_join(small(pairs, n), sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("set_b")), "b", "a", often if n > SMALL else [])
         full = skewed_join(full, sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("set_a")), "a", "b", often)
         return map_arrow(full.select("a", "b", "set_a", "set_b"), _verify(self.percent), "a long, b long")
 
@@ -290,14 +290,17 @@ class JaccardJoin:
         member = member.join(several, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
         # a set meets every block of its component, its own too; of two blocks the smaller one names the group first
-        full = member.join(sets.dropDuplicates(["doc_id"]), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        member = cut(member)
+        full = small(member, member.count()).join(sets, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         full = full.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "doc_id", "block", "copies", "hashes")
         return full.groupBy("component", "i", "j").applyInArrow(_count_links(self.percent), "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
 
-    def _plausible(self, pairs: DataFrame, first: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
+    def _plausible(self, pairs: DataFrame, n: int, first: DataFrame, often: list[tuple[int, int]]) -> DataFrame:
         one = first.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("ranges").alias("ranges_a"))
         two = first.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("ranges").alias("ranges_b"))
-        full = skewed_join(skewed_join(pairs, one, "a", "b", often), two, "b", "a", often).select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
+        if n <= SMALL:
+            often = []
+        full = skewed_join(small(skewed_join(small(pairs, n), one, "a", "b", often), n), two, "b", "a", often).select("a", "b", "n_a", "n_b", "ranges_a", "ranges_b")
         return map_arrow(full, _suffix_filter(self.percent), "a long, b long")
 
     def run(self, count_links: bool = True) -> DataFrame:
@@ -340,15 +343,17 @@ class JaccardJoin:
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = cut(pairs)
-            often = frequent(pairs.select(F.explode(F.array("a", "b")).alias("id")), pairs.count())
-            pairs = cut(self._plausible(pairs, profiles, often))
+            n = pairs.count()
+            often = frequent(pairs.select(F.explode(F.array("a", "b")).alias("id")), n)
+            pairs = cut(self._plausible(pairs, n, profiles, often))
             tested = pairs if tested is None else tested.unionByName(pairs)
             n = pairs.count()
             self.log[f"pairs {turn}"] = n
             if n:
                 asked = cut(self._sets_of(pairs))
-                sets = asked if sets is None else sets.unionByName(asked)
-                found = cut(self._links(pairs, asked, often))
+                # a document's set stands once among all turns' sets
+                sets = asked if sets is None else sets.unionByName(asked.join(sets.select("doc_id"), "doc_id", "left_anti"))
+                found = cut(self._links(pairs, n, asked, often))
                 links = found if links is None else links.unionByName(found)
                 self.log[f"links {turn}"] = k = found.count()
                 if k:
