@@ -26,7 +26,7 @@ from .common import _SPACE, SLICE_BYTES, release, span_hashes
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
-MEMORY = 400_000
+MEMORY = 300_000
 _NONE = np.int64(1 << 40)
 
 

@@ -18,9 +18,9 @@ from pyspark.sql.types import StructType
 from recframe.session import shared_dir
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory whatever the batch holds.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Slices after which a worker gives back what memory is free.
-SLICES_KEPT = 8
+SLICES_KEPT = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

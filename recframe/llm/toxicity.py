@@ -35,7 +35,7 @@ from .common import map_arrow, slices
 from .training import fold, labelled_sample
 
 #: Bounds: labelled documents to learn from, and words that a worker remembers.
-SAMPLE, MEMORY = 8_000, 300_000
+SAMPLE, MEMORY = 8_000, 100_000
 _WORDS = re.compile(r"[^\W\d_]+")
 STEMS = (4, 5, 6)
 
