@@ -242,10 +242,14 @@ def _marked(docs: DataFrame, min_words: int) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", F.xxhash64("text").alias("copy"))
     marked = rows.join(gone, ["doc_id", "copy"], "left")
     split = F.split("text", "\n")
-    # The deleted lines stand in ascending order: what stays are the stretches between them.
-    edges = F.concat(F.array(F.lit(-1)), "gone", F.array(F.size(split)))
-    stretch = F.transform(F.sequence(F.lit(1), F.size(edges) - 1), lambda k: F.slice(split, F.get(edges, k - 1) + 2, F.get(edges, k) - F.get(edges, k - 1) - 1))
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(stretch), "\n"))
+    # The deleted lines stand in ascending order: what stays are the stretches between them. The lines are a variable of the
+    # outer function, as Spark works out again for each element whatever else stands in an inner one.
+    starts = F.concat(F.array(F.lit(0)), F.transform("gone", lambda k: k + 1))
+
+    def kept(lines):
+        return F.array_join(F.flatten(F.zip_with(starts, F.concat("gone", F.array(F.size(lines))), lambda a, b: F.slice(lines, a + 1, b - a))), "\n")
+
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.get(F.transform(F.array(split), kept), F.lit(0)))
     n_lines = F.when(F.length("text") > 0, F.size(split)).otherwise(0).cast("long")
     return marked.select("row", left.alias("left"), n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 

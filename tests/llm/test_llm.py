@@ -613,6 +613,16 @@ def test_line_dedup_hot_passage_and_repeated_rows(spark):
     assert rest.columns == df.columns and rest.count() == len(rows) - 1 and rest.filter("gone = 9").count() == 0
 
 
+def test_line_dedup_of_many_lines_in_linear_time(spark):
+    body = "\n".join(f"line {k} " + "word " * 20 for k in range(4000))
+    docs = spark.createDataFrame([(1, body), (2, f"{body}\nown line"), (3, f"kept\n{body}"), (4, f"{body}\nmiddle\n\n{body}")], "doc_id bigint, text string")
+    began = time.time()
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert time.time() - began < 60  # minutes, if all lines are split again for each deleted one
+    assert [out[k]["text"] for k in (1, 2, 3, 4)] == [body, "own line", "kept", "middle\n"]
+    assert [out[k]["n_removed"] for k in (1, 2, 3, 4)] == [0, 4000, 4000, 8000]
+
+
 def test_line_dedup_odd(spark, odd, empty):
     out = line_dedup.dedup_lines(odd)
     assert out.count() == odd.count() and out.columns == [*odd.columns, "n_lines", "n_removed"]
