@@ -10,7 +10,8 @@ a segment's score becomes the logarithm of how many as good would be expected by
 Segments that are significant add up, and a logistic curve fitted to the labelled documents turns their sum to a
 score from 0 to 1.
 
-The model is fitted to a sample of labelled documents, bounded in number (``SAMPLE``) and bytes, in the driver; scanning is row-wise, over
+The model is fitted to a sample of labelled documents, bounded in number (``SAMPLE``) and bytes, in one task; the driver gets
+its weights alone. Scanning is row-wise, over
 whole texts, without a shuffle.
 
 Defined results: null and empty texts have no segment and get the score of no evidence; without labels of both kinds
@@ -21,6 +22,7 @@ are ignored; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, slices
-from .training import fold, labelled_sample
+from .training import fold, labelled_rows
 
 #: Bounds: labelled documents to learn from, and words that a worker remembers.
 SAMPLE, MEMORY = 8_000, 100_000
@@ -218,7 +220,15 @@ def learn(docs: DataFrame, labels: DataFrame | None, folds: int = 5, held_out: i
     """The model of the labels outside the held-out fold; without a table of labels, one to which nothing is toxic."""
     if labels is None:
         return Model()
-    return fit(labelled_sample(docs, labels, "toxic", folds, held_out, sample))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda x: x[:2])
+        model = fit([(text, int(y)) for _, _, y, text in rows])
+        model.memory.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = map_arrow(labelled_rows(docs, labels, "toxic", folds, held_out, sample), run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Model()
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:

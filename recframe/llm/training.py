@@ -15,9 +15,9 @@ def fold(doc_id: str, folds: int) -> Column:
 BYTES = 1 << 26
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, size: int = BYTES) -> list[tuple[str, int]]:
-    """(text, label) of labelled documents outside the held-out fold, in a fixed order: at most ``bound``, and as many of the
-    first ones as have ``size`` bytes together.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, size: int = BYTES) -> DataFrame:
+    """(_place, doc_id, _label, text) of labelled documents outside the held-out fold, in one partition: at most ``bound``, and
+    as many of the first ones by place and id as have ``size`` bytes together.
 
     Which documents is settled by a hash of the id alone. Rows without a label or id are left out; of several labels of
     one id the largest holds, of several texts with one id the one of the smallest hash.
@@ -33,4 +33,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     rows = rows.groupBy("_place", "doc_id", "_label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     before = Window.orderBy("_place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over ``bound`` rows at most
     rows = rows.withColumn("_upto", F.sum(F.octet_length("text")).over(before)).filter(F.col("_upto") <= size)
+    return rows.select("_place", "doc_id", "_label", "text")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, size: int = BYTES) -> list[tuple[str, int]]:
+    """(text, label) of the ``labelled_rows``, in their order."""
+    rows = labelled_rows(docs, labels, label, folds, held_out, bound, size)
     return [(r["text"], int(r["_label"])) for r in sorted(rows.collect(), key=lambda r: (r["_place"], r["doc_id"]))]

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from recframe.llm import bpe, bpe_codec, common, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, training, warc
+from recframe.llm import bpe, bpe_codec, common, graph, jaccard, line_dedup, packing, quality_classifier, quality_rules, queries, repair, topk, toxicity, training, warc
 from recframe.llm.bpe import BYTE_BPE, WORD_BPE, default_path, encoder
 
 DATA = "/root/testdata/sf0.001"
@@ -613,6 +614,36 @@ def test_line_dedup_hot_passage_and_repeated_rows(spark):
     assert rest.columns == df.columns and rest.count() == len(rows) - 1 and rest.filter("gone = 9").count() == 0
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"words of text {k} " + "vile " * (k % 2)) for k in range(600)], "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic")
+    want = toxicity.fit(training.labelled_sample(docs, labels, "toxic", 5, 0, toxicity.SAMPLE))
+    fit, driver = toxicity.fit, os.getpid()
+    monkeypatch.setattr(toxicity, "fit", lambda sample: None if os.getpid() == driver else fit(sample))
+    model = toxicity.learn(docs, labels)
+    want.memory.clear()
+    assert model == want and model.weights and not model.memory
+    assert toxicity.learn(docs, labels.filter("false")) == toxicity.Model()
+
+
+def test_components_of_few_and_many_edges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame(rows, "a bigint, b bigint")
+    least = {x: x for e in rows for x in e}
+    while any(least[a] != least[b] for a, b in rows):
+        for a, b in rows:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {x: y for x, y in least.items() if any(x in e for e in rows if e[0] != e[1])}
+    jobs = []
+    for few in (common.SMALL, 0):
+        spark.sparkContext.setJobGroup(f"components {few}", "")
+        assert dict(map(tuple, graph.components(edges, few).collect())) == want
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {few}")))
+    assert 4 * jobs[0] < jobs[1]  # a few edges don't cost the driver a plan for each step
+    assert graph.components(edges.filter("false")).collect() == []
+
+
 def test_line_dedup_of_many_lines_in_linear_time(spark):
     body = "\n".join(f"line {k} " + "word " * 20 for k in range(4000))
     docs = spark.createDataFrame([(1, body), (2, f"{body}\nown line"), (3, f"kept\n{body}"), (4, f"{body}\nmiddle\n\n{body}")], "doc_id bigint, text string")
