@@ -5,40 +5,66 @@ share and read again as the next one's documents. Every stage but the last retur
 
 Defined results: each stage handles nulls, repeated rows, empty tables and further columns as its operator does; a
 table without ``labels`` beside it has no toxic documents.
+
+A task that reads or writes Parquet holds a whole row group, so the stages' results are written in groups of ROW_GROUP bytes:
+with the usual 128 MB, a few tasks that read one stage's result and write the next fill a heap of 1 GB. As the caller may
+write a stage's result, a stage sets ``parquet.block.size`` in the session unless it is set there; ``run`` takes it back.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from recframe.llm import jaccard, line_dedup, packing, quality_rules, toxicity
 from recframe.llm.common import removed, shared_dir, table, table_if_any
 
+#: Bytes of a row group in what stages return, about, and the setting for it.
+ROW_GROUP, GROUPS = 8 << 20, "parquet.block.size"
+
+
+def in_small_groups(stage: Callable) -> Callable:
+    """``stage``, whose result is written in row groups of ROW_GROUP bytes unless the session says otherwise."""
+
+    @wraps(stage)
+    def own(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(GROUPS, None) is None:
+            spark.conf.set(GROUPS, str(ROW_GROUP))
+        return stage(spark, docs, sf_dir)
+
+    return own
+
 
+@in_small_groups
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep(docs)
 
 
+@in_small_groups
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't toxic. The model learns from the labelled documents of the source, outside its held-out fold."""
     model = toxicity.learn(table(spark, sf_dir, "documents"), table_if_any(spark, sf_dir, "labels"))
     return toxicity.keep_clean(docs, model)
 
 
+@in_small_groups
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier one holds; those of which no word is left go. n_chars follows the text."""
     return line_dedup.keep_rest(docs)
 
 
+@in_small_groups
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id, and all documents without words or id."""
     gone = jaccard.near_duplicates(docs, percent=80, words=5, count_links=False).filter("doc_id <> component_id").select("doc_id").distinct().toDF("gone")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
+@in_small_groups
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all documents that are left."""
     return packing.pack_documents(docs)
@@ -51,12 +77,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each on what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        path = f"{base}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        if k:
-            removed(spark, f"{base}/{k - 1}")  # nothing reads it any more
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(GROUPS, None)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            path = f"{base}/{k}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            if k:
+                removed(spark, f"{base}/{k - 1}")  # nothing reads it any more
+            docs = spark.read.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(GROUPS)
     return docs
 
 

@@ -718,3 +718,24 @@ def test_pipeline_odd(spark, odd, empty, tmp_path):
             out = stage(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
             assert out.columns == docs.columns and (out.count() > 0 or name == "quality rules" or not k == 0)
         corpus_pipeline.run(spark, folder).count()
+
+
+def test_pipeline_stages_return_small_row_groups(spark, tmp_path):
+    """Of 40 MB that don't compress: what tasks hold while they read one stage's result and write the next is bounded."""
+    import corpus_pipeline
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(k, rng.bytes(1 << 14).hex(), "en") for k in range(1250)], "doc_id long, text string, lang string").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:3]:
+            stage(spark, docs, str(tmp_path)).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+            files = [pq.ParquetFile(p).metadata for p in (tmp_path / name).glob("*.parquet")]
+            sizes = [m.row_group(k).total_byte_size for m in files for k in range(m.num_row_groups)]
+            assert sum(m.num_rows for m in files) == 1250 and max(sizes) < 2.5 * corpus_pipeline.ROW_GROUP
+    finally:
+        spark.conf.unset(corpus_pipeline.GROUPS)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert spark.conf.get(corpus_pipeline.GROUPS, None) is None  # and run leaves the session as it was
