@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .common import _SPACE, SLICE_BYTES, release, span_hashes
+from .common import _SPACE, LONG, WORD_MASK, release, span_hashes, words_at
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 #: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
@@ -308,18 +308,23 @@ class SpeculativeBpe:
         bad[word[wrong]] = True
         self.counts["words"] += len(parts)
         self.counts["merged"] += int(bad.sum())
-        good = t.astype("<u4").tobytes()
-        to = np.cumsum(n) * 4
-        out = [good[a:b] for a, b in zip((to - n * 4).tolist(), to.tolist(), strict=True)]
-        failing = np.flatnonzero(bad)
-        if len(failing):
-            t, n = self._merge(*self._symbols([parts[i] for i in failing.tolist()], np.full(len(failing), self.end)))
-            exact = t.astype("<u4").tobytes()
-            to = np.cumsum(n) * 4
-            for i, a, b in zip(failing.tolist(), (to - n * 4).tolist(), to.tolist(), strict=True):
-                out[i] = exact[a:b]
+        out = self._cut(t, n)
+        failing = np.flatnonzero(bad).tolist()
+        if failing:
+            for i, ids in zip(failing, self.merge([parts[i] for i in failing]), strict=True):
+                out[i] = ids
         return out
 
+    def merge(self, parts: list[bytes]) -> list[bytes]:
+        """The same by the ranked merges alone."""
+        return self._cut(*self._merge(*self._symbols(parts, np.full(len(parts), self.end)))) if parts else []
+
+    @staticmethod
+    def _cut(tokens: np.ndarray, n: np.ndarray) -> list[bytes]:
+        ids = tokens.astype("<u4").tobytes()
+        to = np.cumsum(n) * 4
+        return [ids[a:b] for a, b in zip((to - n * 4).tolist(), to.tolist(), strict=True)]
+
 
 #: Classes of bytes: ASCII letters, digits and marks other than the apostrophe; 0 for all others.
 _CLASS = np.zeros(256, np.int8)
@@ -355,6 +360,8 @@ class _Encoder:
     parts_of: regex.Pattern
     #: Whether a unit holds the space before it.
     spaced = False
+    #: Whether new pre-tokens are encoded by proposal and check, or merged at once.
+    speculates = True
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -363,6 +370,7 @@ class _Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.new = self.bpe.encode if self.speculates else self.bpe.merge
         self.parts: dict[str, bytes] = {self.mark: self.gap}
         self.by_library = 0
         self.forget()
@@ -376,7 +384,7 @@ class _Encoder:
 
     def learn_plain(self, missing: list[bytes]) -> list[bytes]:
         """Encodes units that are one pre-token each."""
-        return self.bpe.encode(missing)
+        return self.new(missing)
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Encodes units that aren't remembered: plain ones by proposal and check, all others by the library."""
@@ -392,7 +400,7 @@ class _Encoder:
             if len(self.parts) + len(names) > MEMORY:
                 self.parts = {self.mark: self.gap}
                 names = list(set(parts).difference(self.parts))
-            self.parts.update(zip(names, self.bpe.encode([p.encode() for p in names]), strict=True))
+            self.parts.update(zip(names, self.new([p.encode() for p in names]), strict=True))
             told = b"".join(map(self.parts.__getitem__, parts)).split(self.gap)
             if plain is missing:
                 return told
@@ -474,21 +482,20 @@ class _Encoder:
         return number
 
     def _equal(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        """Whether each unit has the bytes of the entry found for it; about SLICE_BYTES at a time."""
+        """Whether each unit has the bytes of the entry found for it."""
         n = end - begin
+        here, there = self.byte_start[entry], begin
         same = n == self.byte_size[entry]
-        total = np.cumsum(n)
-        lo = 0
-        while lo < len(n):
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] - n[lo] + SLICE_BYTES, side="right")))
-            at = lo + np.flatnonzero(same[lo:hi])
-            size = n[at]
-            upto = np.cumsum(size) - size
-            step = np.arange(int(size.sum()))
-            differs = data[np.repeat(begin[at] - upto, size) + step] != self.bytes[np.repeat(self.byte_start[entry[at]] - upto, size) + step]
-            if differs.any():
-                same[at[np.searchsorted(upto, np.flatnonzero(differs), side="right") - 1]] = False
-            lo = hi
+        for k in np.flatnonzero(same & (n > LONG)).tolist():
+            same[k] = np.array_equal(data[begin[k] : end[k]], self.bytes[here[k] : here[k] + n[k]])
+        at = np.flatnonzero(same & (n <= LONG))
+        one, two, left = words_at(data), words_at(self.bytes), n[at]
+        here, there = here[at], there[at]
+        while len(at):  # eight bytes at a time
+            differs = np.flatnonzero((one[there] ^ two[here]) & WORD_MASK[np.minimum(left, 8)])
+            same[at[differs]] = False
+            more = np.flatnonzero(left > 8)
+            at, here, there, left = at[more], here[more] + 8, there[more] + 8, left[more] - 8
         return same
 
 
@@ -518,7 +525,7 @@ class WordEncoder(_Encoder):
         return begin, end
 
     def learn_plain(self, missing: list[bytes]) -> list[bytes]:
-        return self.bpe.encode([u.lower() for u in missing])
+        return self.new([u.lower() for u in missing])
 
     def decode_table(self) -> list[str]:
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -527,10 +534,11 @@ class WordEncoder(_Encoder):
 
 class ByteEncoder(_Encoder):
     """The byte-level vocabulary. Units begin at a single space between two characters that aren't white space, and where the
-    class of ASCII characters changes."""
+    class of ASCII characters changes. It has few new pre-tokens that a proposal gets right, so they are merged at once."""
 
     mark = "\x01"
     spaced = True
+    speculates = False
     odd = re.compile("[^\x01\t\n\r -~\xa1-\xac\xae-\u024f]|<\\||\\s\\s|\\s(?:\x01|\\Z)")
     parts_of = regex.compile(r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?!\S)|\s+")
     wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")  # bytes of white space beyond ASCII

@@ -106,7 +106,7 @@ def map_arrow(df: DataFrame, function: Callable, schema: str | StructType) -> Da
 
 #: For hashing: odd constants of a fixed seed, and the masks of the first 0 to 8 bytes of a word.
 _ODD = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 32, dtype=np.uint64) | np.uint64(1)
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+WORD_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Spans beyond this many bytes are hashed one by one.
 LONG = 1 << 10
 _SPACE = np.zeros(256, bool)
@@ -125,6 +125,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on, and from its end, as words; zeros follow the last byte."""
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans of ``data``, equal for equal bytes wherever they stand.
 
@@ -133,13 +138,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """
     size = ends - starts
     out = size.astype(np.uint64) * _ODD[0]
-    words = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    words = words_at(data)
     live = np.flatnonzero((size > 0) & (size <= LONG))
     at, left = starts[live], size[live]
     place = 0
     while len(live):
         place += 1
-        out[live] += mix((words[at] & _MASK[np.minimum(left, 8)]) ^ np.uint64(place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        out[live] += mix((words[at] & WORD_MASK[np.minimum(left, 8)]) ^ np.uint64(place * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     for k in np.flatnonzero(size > LONG).tolist():

@@ -73,13 +73,8 @@ class Grammar:
         flat, starts = table
         s = symbols.astype(np.int64)
         plain = s < self.base
-        n = np.where(plain, 1, self.lengths[np.where(plain, 0, s - self.base)] if len(self.lengths) else 1)
-        to = np.cumsum(n) - n
-        out = np.zeros(int(n.sum()), np.uint32)
-        out[to[plain]] = s[plain]
-        own = s[~plain] - self.base
-        out[_spread(to[~plain], n[~plain])] = flat[_spread(starts[own], n[~plain])]
-        return out
+        begin = np.where(plain, len(flat) + s, starts[np.where(plain, 0, s - self.base)])  # plain ids stand behind the rules'
+        return np.concatenate((flat, np.arange(self.base, dtype=np.uint32)))[_spread(begin, self.sizes(s))]
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each symbol stands for."""
@@ -98,48 +93,65 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
     ``least``: occurrences that make a pair frequent; ``rounds``: at most so many rounds of replacement, None: until no
     pair inside a document is frequent.
     """
-    symbols, doc, rules, lengths, next_symbol = ids.astype(np.uint32), doc.astype(np.int32), [], [np.zeros(0, np.int64)], base
+    symbols, rules, lengths, next_symbol = ids.astype(np.uint32), [], [np.zeros(0, np.int64)], base
+    last = np.ones(len(symbols), bool)  # of its document
+    last[:-1] = doc[1:] != doc[:-1]
+    names = doc[last].astype(np.int32)
     bits = 20
     done = 0
-    at = np.flatnonzero(doc[1:] == doc[:-1])  # where a pair begins that may be frequent
+    at = np.flatnonzero(~last)  # where a pair begins that may be frequent
     while len(at) and done != rounds:
         done += 1
-        pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+        if 2 * len(at) > len(symbols):
+            pair = (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])[at]
+        else:
+            pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
         if len(at) > 1 << 16:  # no pair in a light bucket is frequent enough
-            bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+            bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
             heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-            at, pair = at[heavy], pair[heavy]
-        back, found = pd.factorize(pair)
-        n = np.bincount(back, minlength=len(found))
-        often = n[back] >= least
-        at, back = at[often], back[often]
-        if not len(at):
+            if 4 * np.count_nonzero(heavy) < 3 * len(at):
+                at, pair = at[heavy], pair[heavy]
+        back, found = pd.factorize(pair, size_hint=len(pair) // 8)
+        weight = np.bincount(back, minlength=len(found))[back]
+        often = np.flatnonzero(weight >= least)
+        if not len(often):
             break
+        if len(often) < len(at):
+            at, back, weight = at[often], back[often], weight[often]
         candidates = at
         # Of pairs that overlap, the more frequent one wins; equal ones: every second from the left.
-        weight = n[back]
         touch = at[1:] == at[:-1] + 1
         win = np.ones(len(at), bool)
         win[1:] &= ~(touch & (weight[:-1] > weight[1:]))
         win[:-1] &= ~(touch & (weight[1:] > weight[:-1]))
+        win = np.flatnonzero(win)
         at, back = at[win], back[win]
-        head = np.ones(len(at), bool)
-        head[1:] = at[1:] != at[:-1] + 1
-        at_run = np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at, back = at[at_run % 2 == 0], back[at_run % 2 == 0]
+        follows = np.zeros(len(at) + 1, bool)
+        follows[1:-1] = at[1:] == at[:-1] + 1
+        run = np.flatnonzero(follows[:-1] | follows[1:])
+        if len(run):
+            k = np.arange(len(run))
+            k -= np.maximum.accumulate(np.where(follows[run], 0, k))
+            stay = np.ones(len(at), bool)
+            stay[run[k % 2 == 1]] = False
+            stay = np.flatnonzero(stay)
+            at, back = at[stay], back[stay]
         n = np.bincount(back, minlength=len(found))
         # Half of the most frequent pairs' occurrences stand here at least, so one of them is used, from ``least`` 4 on.
         used = n >= max(2, least // 2)
         if not used.any():
             break
         code = np.cumsum(used) - 1
-        at, back = at[used[back]], back[used[back]]
+        if not used.all():
+            take = np.flatnonzero(used[back])
+            at, back = at[take], back[take]
         new = np.stack((found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.int64)
         known = np.concatenate(lengths)
         size = np.where(new < base, 1, known[np.where(new < base, 0, new - base)] if len(known) else 1).sum(1)
         rules.append(new)
         lengths.append(size)
-        symbols[at] = (next_symbol + code[back]).astype(np.uint32)
+        symbols[at] = (next_symbol + code).astype(np.uint32)[back]
+        last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         # A pair of older symbols can only become rarer: next are those that were frequent, and those of the new symbols.
@@ -151,10 +163,12 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         ask[before] = True
         gone = before[~stay[before]]  # the second half of another replaced pair: its first half is what now stands before
         ask[gone - 1] = True
-        symbols, doc, ask = symbols[stay], doc[stay], ask[stay]
-        at = np.flatnonzero(ask[:-1])
-        at = at[doc[at + 1] == doc[at]]
+        ask &= ~last
+        stay = np.flatnonzero(stay)
+        symbols, last, ask = symbols[stay], last[stay], ask[stay]
+        at = np.flatnonzero(ask)
         next_symbol += len(new)
+    doc = names[np.cumsum(last) - last]
     return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols.astype(np.int64)), doc
 
 

@@ -739,3 +739,30 @@ def test_pipeline_stages_return_small_row_groups(spark, tmp_path):
         spark.conf.unset(corpus_pipeline.GROUPS)
     corpus_pipeline.run(spark, str(tmp_path)).count()
     assert spark.conf.get(corpus_pipeline.GROUPS, None) is None  # and run leaves the session as it was
+
+
+def test_byte_encoder_merges_new_units_at_once(monkeypatch):
+    """A proposal is wrong for most new words of syllables; they aren't proposed, checked and merged, but merged."""
+    rng = np.random.default_rng(9)
+    syllables = ["er", "th", "on", "the", "re", "an", "ou", "ing", "ed", "é", "ß", "ñ", "99", ".", "'s"]
+    rows = [" ".join("".join(rng.choice(syllables, rng.integers(1, 7))) for _ in range(300)) for _ in range(40)]
+    rows += ["a" * 3000 + " " + "ab" * 2000, "a" * 3000 + " " + "ab" * 2000 + "c"]
+    own = bpe.ByteEncoder(default_path(BYTE_BPE))
+    monkeypatch.setattr(bpe.SpeculativeBpe, "_propose", None)
+    for _ in range(2):  # learned, then remembered
+        got = own.encode([r.encode() for r in rows])
+        want = own.library.encode_batch_fast(rows, add_special_tokens=False)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in want]
+
+
+def test_bytes_are_compared_to_the_last():
+    """Units of equal size that differ in one byte only, at any place, are told apart, short and long ones."""
+    own = bpe.ByteEncoder(default_path(BYTE_BPE))
+    for n in (1, 7, 8, 9, 16, 17, 1024, 1025, 5000):
+        unit = np.full(n, 97, np.uint8)
+        first = own._remember(unit, np.array([0]), np.array([n]))[0]
+        places = np.unique([0, n // 2, n - 1])
+        rows = [unit] + [np.where(np.arange(n) == k, 98, unit).astype(np.uint8) for k in places]
+        begin = np.arange(len(rows)) * n
+        same = own._equal(np.concatenate(rows), begin, begin + n, np.full(len(rows), first))
+        assert same.tolist() == [True] + [False] * len(places)
