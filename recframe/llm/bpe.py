@@ -180,35 +180,36 @@ class SpeculativeBpe:
 
     def _merge(self, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ranked merges of many words at once: in each round, every word applies its best pair everywhere."""
-        word = np.repeat(np.arange(len(n)), n)
-        keep = symbols >= 0  # bytes that the vocabulary lacks are dropped
-        symbols, word = symbols[keep], word[keep]
+        word = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        if len(symbols) and symbols.min() < 0:  # bytes that the vocabulary lacks are dropped
+            keep = symbols >= 0
+            symbols, word = symbols[keep], word[keep]
         out_w, out_s = [], []
         rank = np.full(len(symbols), _NONE, np.int64)  # of each symbol with the next one of its word
         self._rank(rank, np.arange(len(symbols)), symbols, word)
         while len(symbols):
-            change = np.ones(len(word), bool)
-            change[1:] = word[1:] != word[:-1]
-            start = np.flatnonzero(change)
-            best = np.repeat(np.minimum.reduceat(rank, start), np.diff(np.append(start, len(word))))
-            live = best != _NONE
-            if not live.all():
-                out_w.append(word[~live])
-                out_s.append(symbols[~live])
-                symbols, word, rank, best = symbols[live], word[live], rank[live], best[live]
-                if not len(symbols):
-                    break
-            at = np.flatnonzero(rank == best)
+            start = np.concatenate(([0], np.flatnonzero(word[1:] != word[:-1]) + 1))
+            size = np.diff(start, append=len(word))
+            best = np.minimum.reduceat(rank, start)
+            ended = best == _NONE
+            stay = np.ones(len(symbols), bool)
+            if ended.any():
+                best[ended] = -1
+                stay = ~np.repeat(ended, size)
+                over = np.flatnonzero(~stay)
+                out_w.append(word[over])
+                out_s.append(symbols[over])
+            at = np.flatnonzero(rank == np.repeat(best, size))
             run = np.ones(len(at), bool)  # of neighbouring equal pairs (aaa) every second, from the left
             run[1:] = at[1:] != at[:-1] + 1
             if not run.all():
                 k = np.arange(len(at))
                 at = at[(k - np.maximum.accumulate(np.where(run, k, 0))) % 2 == 0]
             symbols[at] = self.merged[rank[at]]
-            stay = np.ones(len(symbols), bool)
             stay[at + 1] = False
-            symbols, word, rank = symbols[stay], word[stay], rank[stay]
-            at -= np.arange(len(at))
+            left = np.flatnonzero(stay)
+            symbols, word, rank = symbols[left], word[left], rank[left]
+            at = (np.cumsum(stay) - 1)[at]
             self._rank(rank, np.concatenate((at, at[at > 0] - 1)), symbols, word)
         if not out_w:
             return np.zeros(0, np.int64), np.zeros(len(n), np.int64)

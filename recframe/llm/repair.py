@@ -106,11 +106,10 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
             pair = (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])[at]
         else:
             pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        if len(at) > 1 << 16:  # no pair in a light bucket is frequent enough
+        if len(at) > 1 << 16 and 3 * len(pd.unique(pair[:: len(at) >> 13])) > 1 << 13:  # many are rare; none in a light bucket is frequent enough
             bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
             heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-            if 4 * np.count_nonzero(heavy) < 3 * len(at):
-                at, pair = at[heavy], pair[heavy]
+            at, pair = at[heavy], pair[heavy]
         back, found = pd.factorize(pair, size_hint=len(pair) // 8)
         weight = np.bincount(back, minlength=len(found))[back]
         often = np.flatnonzero(weight >= least)
