@@ -40,7 +40,7 @@ class _Table:
     """An open-addressing hash table from int64 keys to int64 values, probed for whole arrays."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
-        self.bits = max(4, int(max(len(keys), room) * 4 - 1).bit_length())
+        self.bits = max(4, int(max(len(keys), room) * 2 - 1).bit_length())
         self.room = 1 << (self.bits - 1)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, -1, np.int64)
@@ -363,6 +363,8 @@ class _Encoder:
     spaced = False
     #: Whether new pre-tokens are encoded by proposal and check, or merged at once.
     speculates = True
+    #: How many times MEMORY units are remembered.
+    kept = 1
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -415,7 +417,7 @@ class _Encoder:
     def forget(self) -> None:
         self.twins: dict[bytes, int] = {}  # units whose hash another unit has
         self.bytes, self.byte_start, self.byte_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), MEMORY)
+        self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), self.kept * MEMORY)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -433,7 +435,7 @@ class _Encoder:
         new = np.flatnonzero(entry < 0)
         if len(new):
             keys, first = np.unique(key[new], return_index=True)
-            if len(self.start) + len(keys) > MEMORY:
+            if len(self.start) + len(keys) > self.kept * MEMORY:
                 self.forget()
                 keys, new = np.unique(key, return_index=True)
             else:
@@ -540,6 +542,7 @@ class ByteEncoder(_Encoder):
     mark = "\x01"
     spaced = True
     speculates = False
+    kept = 2
     odd = re.compile("[^\x01\t\n\r -~\xa1-\xac\xae-\u024f]|<\\||\\s\\s|\\s(?:\x01|\\Z)")
     parts_of = regex.compile(r"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}\x01]+|\s+(?!\S)|\s+")
     wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")  # bytes of white space beyond ASCII
