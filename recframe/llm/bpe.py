@@ -22,10 +22,11 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from .common import _SPACE, LONG, WORD_MASK, release, span_hashes, words_at
+from .common import _LOWER, _SPACE, LONG, WORD_MASK, release, span_hashes, words_at
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
-#: Words and pairs that a worker remembers at most; beyond it the memory starts anew, results don't change.
+#: Words and pairs that a worker remembers at most; beyond it units that weren't asked for again, and all pairs, are
+#: forgotten; results don't change.
 MEMORY = 300_000
 _NONE = np.int64(1 << 40)
 
@@ -106,6 +107,26 @@ class _Packed:
         return out
 
 
+class _Grown:
+    """An array that grows at its end; zeros stand behind it, eight at least."""
+
+    def __init__(self, kind: type):
+        self.held, self.n = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        to = self.n + len(more)
+        if to + 8 > len(self.held):
+            held = np.zeros(to + to // 2 + 8, self.held.dtype)
+            held[: self.n] = self.all
+            self.held = held
+        self.held[self.n : to] = more
+        self.n = to
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.n]
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -334,13 +355,17 @@ _CLASS[48:58] = 2
 _CLASS[[b for b in range(33, 127) if not chr(b).isalnum() and b != 39]] = 3
 
 
-def class_cuts(data: np.ndarray) -> np.ndarray:
+def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... n[0] of them, and so on."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def class_cuts(data: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """Where, before a byte, the class changes between two that are letters, digits or marks: no pre-token lies across.
 
     A contraction begins with an apostrophe, so none is cut; where "<|" may begin a special token's text, the bytes up to the
     next white space on either side stay together.
     """
-    kind = _CLASS[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[1:-1] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
     special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
@@ -385,9 +410,11 @@ class _Encoder:
         """(starts, ends) of the units in the bytes of several texts, each of which stands before one of ``ends``."""
         raise NotImplementedError
 
-    def learn_plain(self, missing: list[bytes]) -> list[bytes]:
-        """Encodes units that are one pre-token each."""
-        return self.new(missing)
+    def learn_plain(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number for each unit) of units that are one pre-token each; ``data``: their bytes, ``n`` of each."""
+        raw, to = data.tobytes(), np.cumsum(n)
+        told = self.new([raw[i:j] for i, j in zip((to - n).tolist(), to.tolist(), strict=True)])
+        return np.frombuffer(b"".join(told), "<u4"), np.fromiter(map(len, told), np.int64, len(told)) // 4
 
     def learn(self, missing: list[bytes]) -> list[bytes]:
         """Encodes units that aren't remembered: plain ones by proposal and check, all others by the library."""
@@ -416,83 +443,128 @@ class _Encoder:
 
     def forget(self) -> None:
         self.twins: dict[bytes, int] = {}  # units whose hash another unit has
-        self.bytes, self.byte_start, self.byte_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.known = _Table(np.zeros(0, np.int64), np.zeros(0, np.int64), self.kept * MEMORY)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.used = _Grown(np.int64), _Grown(bool)  # a twin's key is -1; used: asked for since it was remembered
+        self.start, self.size, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint32)
+        self.byte_start, self.byte_size, self.bytes = _Grown(np.int64), _Grown(np.int64), _Grown(np.uint8)
+
+    def forget_unused(self) -> None:
+        """Keeps the units that were asked for again, the later half of the memory's room at most."""
+        old = {name: getattr(self, name) for name in ("keys", "used", "start", "size", "ids", "byte_start", "byte_size", "bytes")}
+        left = np.flatnonzero(old["used"].all & (old["keys"].all >= 0))[-max(1, self.kept * MEMORY // 2) :]
+        self.forget()
+        self.keys.add(old["keys"].all[left])
+        self.used.add(np.zeros(len(left), bool))
+        for whole, start, size in (("ids", "start", "size"), ("bytes", "byte_start", "byte_size")):
+            n = old[size].all[left]
+            getattr(self, whole).add(old[whole].all[_spread(old[start].all[left], n)])
+            getattr(self, start).add(np.cumsum(n) - n)
+            getattr(self, size).add(n)
+        self.known.add(self.keys.all, np.arange(len(left)))
 
     def encode(self, rows: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
 
-        Units are looked up by 64-bit hashes of their bytes, all units of the texts at once, and every hit is compared
-        byte by byte; units that share another one's hash are looked up by their bytes.
+        All units of the texts are looked up at once: those of up to seven bytes by these bytes, longer ones by 64-bit hashes
+        of theirs, where every hit is compared byte by byte; units that share another one's hash are looked up by their bytes.
         """
         data = np.frombuffer(b"".join(rows), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows)))
         begin, end = self.units_of(data, ends)
-        key = (span_hashes(data, begin, end) >> np.uint64(1)).view(np.int64)
+        n, words = end - begin, words_at(data)
+        key = (words[begin] & WORD_MASK[np.minimum(n, 7)] | n.astype(np.uint64) << np.uint64(56)).view(np.int64)
+        long = np.flatnonzero(n > 7)
+        key[long] = (span_hashes(data, begin[long], end[long]) >> np.uint64(2) | np.uint64(1 << 62)).view(np.int64)
         entry = self.known.get(key)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            keys, first = np.unique(key[new], return_index=True)
-            if len(self.start) + len(keys) > self.kept * MEMORY:
-                self.forget()
-                keys, new = np.unique(key, return_index=True)
-            else:
-                new = new[first]
-            if len(self.start) + len(keys) > self.known.room:
-                self.known = _Table(self.known.keys[self.known.keys >= 0], self.known.values[self.known.keys >= 0], 2 * (len(self.start) + len(keys)))
-            self.known.add(keys, self._remember(data, begin[new], end[new]))
-            entry = self.known.get(key)
-        other = np.flatnonzero(~self._equal(data, begin, end, entry))
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            if self.keys.n + len(keys) > self.kept * MEMORY:
+                self.forget_unused()
+                entry = self.known.get(key)
+                new = np.flatnonzero(entry < 0)
+                keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            if self.keys.n + len(keys) > self.known.room:
+                filled = self.known.keys >= 0
+                self.known = _Table(self.known.keys[filled], self.known.values[filled], 2 * (self.keys.n + len(keys)))
+            self.used.all[entry[entry >= 0]] = True
+            first = new[first]
+            told = self._remember(data, begin[first], end[first], keys)
+            self.known.add(keys, told)
+            entry[new] = told[back]
+        else:
+            self.used.all[entry] = True
+        other = long[~self._equal(data, words, begin[long], end[long], entry[long])]
         if len(other):
             units = [data[i:j].tobytes() for i, j in zip(begin[other].tolist(), end[other].tolist(), strict=True)]
             at = {u: k for k, u in zip(other.tolist(), units, strict=True) if u not in self.twins}
             places = np.array(list(at.values()), np.int64)
-            self.twins.update(zip(at, self._remember(data, begin[places], end[places]).tolist(), strict=True))
+            self.twins.update(zip(at, self._remember(data, begin[places], end[places], np.full(len(places), -1)).tolist(), strict=True))
             entry[other] = [self.twins[u] for u in units]
-        size = self.size[entry]
+        size = self.size.all[entry]
         upto = np.concatenate(([0], np.cumsum(size)))
-        flat = self.ids[np.repeat(self.start[entry] - upto[:-1], size) + np.arange(upto[-1])].astype("<u4").tobytes()
+        flat = self.ids.all[np.repeat(self.start.all[entry] - upto[:-1], size) + np.arange(upto[-1])].astype("<u4", copy=False).tobytes()
         to = 4 * upto[np.searchsorted(begin, ends, side="left")]
         return [flat[i:j] for i, j in zip([0, *to.tolist()], to.tolist(), strict=False)]
 
-    def plain(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which units are one ASCII pre-token each: a run of letters, digits or marks, after a space or not."""
-        odd = _CLASS[data] == 0
+    def kinds(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte."""
+        return _CLASS[data]
+
+    def plain(self, data: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which units, of ``n`` bytes each in ``data``, are one pre-token: a run of letters, digits or marks, after a space or not."""
+        kind = self.kinds(data)
+        begin = np.cumsum(n) - n
+        odd = kind == 0
+        odd[1:] |= kind[1:] != kind[:-1]
+        odd[begin] = kind[begin] == 0
+        if self.spaced:
+            space = data[begin] == 32
+            odd[begin[space]] = False
+            odd[begin[space & (n > 1)] + 1] = kind[begin[space & (n > 1)] + 1] == 0
         odd[: len(data) - 1] |= (data[:-1] == 60) & (data[1:] == 124)  # may begin a special token's text
-        upto = np.concatenate(([0], np.cumsum(odd)))
-        return upto[end] - upto[begin + self.spaced * (data[np.minimum(begin, len(data) - 1)] == 32)] == 0
+        return ~np.logical_or.reduceat(odd, begin)
 
-    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """Encodes units and keeps their ids and bytes; their numbers in the memory."""
-        raw = data.tobytes()
-        units = [raw[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-        plain = self.plain(data, begin, end)
-        told = [b""] * len(units)
-        for which, encode in ((np.flatnonzero(plain).tolist(), self.learn_plain), (np.flatnonzero(~plain).tolist(), self.learn)):
-            for k, ids in zip(which, encode([units[k] for k in which]) if which else [], strict=True):
-                told[k] = ids
-        size = np.fromiter(map(len, told), np.int64, len(told)) // 4
-        number = np.arange(len(self.start), len(self.start) + len(told))
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
-        self.size = np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(told), "<u4")))
+        if not len(begin):
+            return np.zeros(0, np.int64)
         n = end - begin
-        self.byte_start = np.concatenate((self.byte_start, len(self.bytes) + np.cumsum(n) - n))
-        self.byte_size = np.concatenate((self.byte_size, n))
-        self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(units), np.uint8)))
+        data = data[_spread(begin, n)]
+        begin = np.cumsum(n) - n
+        plain = self.plain(data, n)
+        whole = np.repeat(plain, n)
+        ids, size = self.learn_plain(data[whole], n[plain]) if plain.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        # Plain units' ids stand first, all others' after them; the numbers keep the units' order.
+        sizes, starts = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        sizes[plain], starts[plain] = size, np.cumsum(size) - size
+        if not plain.all():
+            raw, rest = data.tobytes(), np.flatnonzero(~plain)
+            told = self.learn([raw[i:j] for i, j in zip(begin[rest].tolist(), (begin + n)[rest].tolist(), strict=True)])
+            size = np.fromiter(map(len, told), np.int64, len(told)) // 4
+            sizes[rest], starts[rest] = size, len(ids) + np.cumsum(size) - size
+            ids = np.concatenate((ids, np.frombuffer(b"".join(told), "<u4")))
+        number = np.arange(self.keys.n, self.keys.n + len(n))
+        self.keys.add(keys)
+        self.used.add(np.zeros(len(n), bool))
+        self.start.add(self.ids.n + starts)
+        self.size.add(sizes)
+        self.ids.add(ids)
+        self.byte_start.add(self.bytes.n + begin)
+        self.byte_size.add(n)
+        self.bytes.add(data)
         return number
 
-    def _equal(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    def _equal(self, data: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Whether each unit has the bytes of the entry found for it."""
         n = end - begin
-        here, there = self.byte_start[entry], begin
-        same = n == self.byte_size[entry]
+        here, there = self.byte_start.all[entry], begin
+        same = n == self.byte_size.all[entry]
         for k in np.flatnonzero(same & (n > LONG)).tolist():
-            same[k] = np.array_equal(data[begin[k] : end[k]], self.bytes[here[k] : here[k] + n[k]])
+            same[k] = np.array_equal(data[begin[k] : end[k]], self.bytes.all[here[k] : here[k] + n[k]])
         at = np.flatnonzero(same & (n <= LONG))
-        one, two, left = words_at(data), words_at(self.bytes), n[at]
+        one, two, left = words, self.bytes.held, n[at]
+        two = np.ndarray((len(two) - 7,), "<u8", two, strides=(1,))
         here, there = here[at], there[at]
         while len(at):  # eight bytes at a time
             differs = np.flatnonzero((one[there] ^ two[here]) & WORD_MASK[np.minimum(left, 8)])
@@ -520,15 +592,16 @@ class WordEncoder(_Encoder):
         edge[ends] = True
         if not len(data):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        digit = _CLASS[data] == 2
-        edge |= class_cuts(data)
+        kind = self.kinds(data)
+        digit = kind == 2
+        edge |= class_cuts(data, kind)
         edge[1:-1] |= digit[1:] & digit[:-1]  # each digit is a pre-token
         begin = np.flatnonzero(word & np.concatenate(([True], ~word[:-1])) | word & edge[:-1])
         end = np.flatnonzero(word & (np.concatenate((~word[1:], [True])) | edge[1:])) + 1
         return begin, end
 
-    def learn_plain(self, missing: list[bytes]) -> list[bytes]:
-        return self.new([u.lower() for u in missing])
+    def learn_plain(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return super().learn_plain(_LOWER[data], n)
 
     def decode_table(self) -> list[str]:
         size = self.library.get_vocab_size(with_added_tokens=True)
@@ -536,8 +609,8 @@ class WordEncoder(_Encoder):
 
 
 class ByteEncoder(_Encoder):
-    """The byte-level vocabulary. Units begin at a single space between two characters that aren't white space, and where the
-    class of ASCII characters changes. It has few new pre-tokens that a proposal gets right, so they are merged at once."""
+    """The byte-level vocabulary. Units begin at white space, after a single white space other than a space, and where the
+    class of characters changes. It has few new pre-tokens that a proposal gets right, so they are merged at once."""
 
     mark = "\x01"
     spaced = True
@@ -548,16 +621,30 @@ class ByteEncoder(_Encoder):
     wide = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a|\xe2\x80|\xe2\x81|\xe3\x80")  # bytes of white space beyond ASCII
     space = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 
+    def kinds(self, data: np.ndarray) -> np.ndarray:
+        """The class of each byte; the letters from U+00C0 to U+00FF are two bytes of the class of letters."""
+        kind = _CLASS[data]
+        at = np.flatnonzero(data[:-1] == 0xC3)
+        then = data[at + 1]
+        at = at[(then >> 6 == 2) & (then != 0x97) & (then != 0xB7)]
+        kind[at] = kind[at + 1] = 1
+        return kind
+
+    def learn_plain(self, data: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.bpe._merge(self.bpe.first[data], n)
+
     def units_of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(data)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         blank = self.space[data]
-        cut = np.zeros(n + 1, bool)
-        cut[1 : n - 1] = (data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
-        cut |= class_cuts(data)
-        for m in self.wide.finditer(data):  # a text's part around such bytes stays whole
-            cut[max(0, m.start() - 2) : m.end() + 2] = False
+        cut = class_cuts(data, self.kinds(data))
+        white = np.flatnonzero(_SPACE[data[1:-1]] & ~blank[:-2]) + 1  # begins white space
+        cut[white] = True
+        cut[white[(data[white] != 32) & ~blank[white + 1]] + 1] = True  # one pre-token of its own
+        if ((data - np.uint8(0xE1) < 3) | (data == 0xC2)).any():
+            for m in self.wide.finditer(data):  # a text's part around such bytes stays whole
+                cut[max(0, m.start() - 2) : m.end() + 3] = False
         cut[0] = True
         cut[ends] = True
         at = np.flatnonzero(cut)

@@ -127,7 +127,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place of ``data`` on, and from its end, as words; zeros follow the last byte."""
-    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))).tobytes(), strides=(1,))
+    return np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

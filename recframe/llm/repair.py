@@ -48,38 +48,35 @@ class Grammar:
     lengths: np.ndarray  # [k]
     symbols: np.ndarray
 
-    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """(all rules' ids one after another, where each rule's begin). A rule names older symbols only."""
-        starts = np.concatenate(([0], np.cumsum(self.lengths)))
-        flat = np.zeros(int(starts[-1]), np.uint32)
-        level = np.zeros(len(self.rules), np.int64)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            level[k] = 1 + max(level[a - self.base] if a >= self.base else 0, level[b - self.base] if b >= self.base else 0)
+    def expansions(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all symbols' ids one after another, where each symbol's begin, how many it has). A rule names older symbols only."""
+        size = np.concatenate((np.ones(self.base, np.int64), self.lengths))
+        starts = np.cumsum(size) - size
+        flat = np.zeros(int(size.sum()), np.uint32)
+        flat[: self.base] = np.arange(self.base)
+        depths, base = [], self.base
+        for a, b in self.rules.tolist():
+            x, y = depths[a - base] if a >= base else 0, depths[b - base] if b >= base else 0
+            depths.append(x + 1 if x > y else y + 1)
+        level = np.array(depths, np.int64)
         for depth in range(1, int(level.max(initial=0)) + 1):
             k = np.flatnonzero(level == depth)
-            at = starts[k]
+            at = starts[k + base]
             for side in (0, 1):
                 s = self.rules[k, side].astype(np.int64)
-                plain = s < self.base
-                flat[at[plain]] = s[plain]
-                own = s[~plain] - self.base
-                n = self.lengths[own]
-                flat[_spread(at[~plain], n)] = flat[_spread(starts[own], n)]
-                at = at + np.where(plain, 1, self.lengths[np.where(plain, 0, s - self.base)] if len(self.lengths) else 1)
-        return flat, starts
-
-    def expand(self, symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+                flat[_spread(at, size[s])] = flat[_spread(starts[s], size[s])]
+                at = at + size[s]
+        return flat, starts, size
+
+    def expand(self, symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
         """The ids of some of the symbols."""
-        flat, starts = table
+        flat, starts, size = table
         s = symbols.astype(np.int64)
-        plain = s < self.base
-        begin = np.where(plain, len(flat) + s, starts[np.where(plain, 0, s - self.base)])  # plain ids stand behind the rules'
-        return np.concatenate((flat, np.arange(self.base, dtype=np.uint32)))[_spread(begin, self.sizes(s))]
+        return flat[_spread(starts[s], size[s])]
 
     def sizes(self, symbols: np.ndarray) -> np.ndarray:
         """How many ids each symbol stands for."""
-        s = symbols.astype(np.int64)
-        return np.where(s < self.base, 1, self.lengths[np.where(s < self.base, 0, s - self.base)] if len(self.lengths) else 1)
+        return np.concatenate((np.ones(self.base, np.int64), self.lengths))[symbols.astype(np.int64)]
 
 
 def _spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -94,39 +91,63 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
     pair inside a document is frequent.
     """
     symbols, rules, lengths, next_symbol = ids.astype(np.uint32), [], [np.zeros(0, np.int64)], base
-    last = np.ones(len(symbols), bool)  # of its document
-    last[:-1] = doc[1:] != doc[:-1]
+    last = np.flatnonzero(np.append(doc[1:] != doc[:-1], True)[: len(doc)])  # symbols of their documents
     names = doc[last].astype(np.int32)
-    bits = 20
+    after = earlier = None  # the next and the last symbol that is left, once replaced ones stay where they are
+    ask = np.ones(len(symbols), bool)  # where a pair begins that may be frequent
+    ask[last] = False
+    at = np.flatnonzero(ask)
     done = 0
-    at = np.flatnonzero(~last)  # where a pair begins that may be frequent
     while len(at) and done != rounds:
         done += 1
-        if 2 * len(at) > len(symbols):
-            pair = (symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:])[at]
+        half = 32
+        dense = after is None and 2 * len(at) > len(symbols)  # all pairs are counted; more than those asked for doesn't matter
+        if dense and next_symbol <= 1 << 16:
+            half = 16
+            pair = symbols[:-1] << np.uint32(16) | symbols[1:]
+        elif dense:
+            pair = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
         else:
-            pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-        if len(at) > 1 << 16 and 3 * len(pd.unique(pair[:: len(at) >> 13])) > 1 << 13:  # many are rare; none in a light bucket is frequent enough
-            bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+            right = at + 1 if after is None else after[at]
+            pair = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[right]
+        if len(pair) > 1 << 16 and 3 * len(pd.unique(pair[:: len(pair) >> 13])) > 2 << 13:  # many are rare; none in a light bucket is frequent enough
+            bits = len(pair).bit_length() - 1
+            bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
             heavy = (np.bincount(bucket, minlength=1 << bits) >= least)[bucket]
-            at, pair = at[heavy], pair[heavy]
+            if dense:
+                heavy[last[:-1]] = False
+            keep = np.flatnonzero(heavy)
+            at, pair, dense = keep if dense else at[keep], pair[keep], False
+            right = at + 1 if after is None else after[at]
         back, found = pd.factorize(pair, size_hint=len(pair) // 8)
-        weight = np.bincount(back, minlength=len(found))[back]
-        often = np.flatnonzero(weight >= least)
-        if not len(often):
+        weight = np.bincount(back, minlength=len(found))
+        if dense:
+            weight -= np.bincount(back[last[:-1]], minlength=len(found))
+        weight = weight.astype(np.int32)[back]
+        if dense:
+            weight[last[:-1]] = 0
+        often = weight >= least
+        if not often.any():
             break
-        if len(often) < len(at):
-            at, back, weight = at[often], back[often], weight[often]
-        candidates = at
         # Of pairs that overlap, the more frequent one wins; equal ones: every second from the left.
-        touch = at[1:] == at[:-1] + 1
-        win = np.ones(len(at), bool)
-        win[1:] &= ~(touch & (weight[:-1] > weight[1:]))
-        win[:-1] &= ~(touch & (weight[1:] > weight[:-1]))
-        win = np.flatnonzero(win)
-        at, back = at[win], back[win]
+        win = often.copy()
+        if dense:
+            win[1:] &= weight[1:] >= weight[:-1]
+            win[:-1] &= weight[:-1] >= weight[1:]
+            win = np.flatnonzero(win)
+            ask = np.append(often, False)
+            at, back = win, back[win]
+            right = at + 1
+        else:
+            apart = at[1:] != right[:-1]
+            win[1:] &= apart | (weight[1:] >= weight[:-1])
+            win[:-1] &= apart | (weight[:-1] >= weight[1:])
+            win = np.flatnonzero(win)
+            ask = np.zeros(len(symbols), bool)
+            ask[at[often]] = True
+            at, right, back = at[win], right[win], back[win]
         follows = np.zeros(len(at) + 1, bool)
-        follows[1:-1] = at[1:] == at[:-1] + 1
+        follows[1:-1] = at[1:] == right[:-1]
         run = np.flatnonzero(follows[:-1] | follows[1:])
         if len(run):
             k = np.arange(len(run))
@@ -134,7 +155,7 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
             stay = np.ones(len(at), bool)
             stay[run[k % 2 == 1]] = False
             stay = np.flatnonzero(stay)
-            at, back = at[stay], back[stay]
+            at, right, back = at[stay], right[stay], back[stay]
         n = np.bincount(back, minlength=len(found))
         # Half of the most frequent pairs' occurrences stand here at least, so one of them is used, from ``least`` 4 on.
         used = n >= max(2, least // 2)
@@ -143,32 +164,42 @@ def compress(ids: np.ndarray, doc: np.ndarray, base: int, least: int = 6, rounds
         code = np.cumsum(used) - 1
         if not used.all():
             take = np.flatnonzero(used[back])
-            at, back = at[take], back[take]
-        new = np.stack((found[used] >> np.uint64(32), found[used] & np.uint64(0xFFFFFFFF)), 1).astype(np.int64)
+            at, right, back = at[take], right[take], back[take]
+        new = np.stack((found[used] >> half, found[used] & ((1 << half) - 1)), 1).astype(np.int64)
         known = np.concatenate(lengths)
         size = np.where(new < base, 1, known[np.where(new < base, 0, new - base)] if len(known) else 1).sum(1)
         rules.append(new)
         lengths.append(size)
         symbols[at] = (next_symbol + code).astype(np.uint32)[back]
-        last[at] = last[at + 1]
-        stay = np.ones(len(symbols), bool)
-        stay[at + 1] = False
+        next_symbol += len(new)
+        place = np.minimum(np.searchsorted(right, last), len(right) - 1)
+        last = np.where(right[place] == last, at[place], last)
+        if after is None and 16 * len(at) <= len(symbols):  # from now on few go in a round
+            after, earlier = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols))
+            gone = np.zeros(len(symbols), bool)
         # A pair of older symbols can only become rarer: next are those that were frequent, and those of the new symbols.
-        ask = np.zeros(len(symbols), bool)
-        ask[candidates] = True
         ask[at] = True
-        before = at - 1
-        before = before[before >= 0]
-        ask[before] = True
-        gone = before[~stay[before]]  # the second half of another replaced pair: its first half is what now stands before
-        ask[gone - 1] = True
-        ask &= ~last
-        stay = np.flatnonzero(stay)
-        symbols, last, ask = symbols[stay], last[stay], ask[stay]
+        if after is None:
+            stay = np.ones(len(symbols), bool)
+            stay[right] = False
+            before = at[at > 0] - 1
+            ask[before] = True
+            ask[before[~stay[before]] - 1] = True  # the second half of another replaced pair: its first half is what now stands before
+            ask[last] = False
+            stay = np.flatnonzero(stay)
+            symbols, ask = symbols[stay], ask[stay]
+            last -= np.searchsorted(right, last)
+        else:
+            follower = after[right]
+            after[at], earlier[follower], gone[right] = follower, at, True
+            before = earlier[at]
+            ask[before[before >= 0]] = True
+            ask[right] = ask[last] = False
         at = np.flatnonzero(ask)
-        next_symbol += len(new)
-    doc = names[np.cumsum(last) - last]
-    return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols.astype(np.int64)), doc
+    if after is not None:
+        last = last - np.cumsum(gone)[last]
+        symbols = symbols[~gone]
+    return Grammar(base, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.concatenate(lengths), symbols.astype(np.int64)), np.repeat(names, np.diff(last, prepend=-1))
 
 
 def shard_ids(docs: DataFrame, kind: str = "byte", end_id: int = 0, shard: int = 1 << 20, vocabulary: str | None = None) -> DataFrame:

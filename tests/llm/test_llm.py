@@ -73,6 +73,30 @@ def test_encoder_compares_bytes(kind, name, documents, monkeypatch):
     assert [fresh.encode([t.encode()])[0] for t in rows] == want and fresh.encode([t.encode() for t in rows]) == want
 
 
+def test_byte_units_end_at_white_space_and_latin_letters():
+    text = "un.\nÇa était, vrai!\r×é\xa0\nxyz  y\n"
+    data = np.frombuffer(text.encode(), np.uint8)
+    begin, end = encoder("byte").units_of(data, np.array([len(data)]))
+    units = [data[i:j].tobytes().decode() for i, j in zip(begin, end, strict=True)]
+    assert units == ["un", ".", "\n", "Ça", " était", ",", " vrai", "!", "\r", "×é\xa0\nxyz", "  y\n"]
+
+
+def test_byte_units_asked_for_again_are_kept(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 200)
+    fresh = bpe.ByteEncoder(default_path(BYTE_BPE))
+    remember, learned, tok = fresh._remember, [], library(BYTE_BPE)
+    monkeypatch.setattr(fresh, "_remember", lambda data, begin, end, *x: (learned.append(len(begin)), remember(data, begin, end, *x))[1])
+    for k in range(15):
+        rows = [" ".join(f"common{'abcdefgh'[j % 8]}{'stuvwxyz'[j // 8]}" for j in range(50)), " ".join(f"new{chr(97 + k)}{chr(97 + j // 8)}{chr(97 + j % 8)}" for j in range(60))]
+        assert fresh.encode([t.encode() for t in rows]) == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(rows, add_special_tokens=False)]
+    assert sum(learned) <= 50 + 15 * 60 + 16 and fresh.keys.n <= 400  # 16: the first words of texts have no space before them
+
+
+def test_word_encoder_keeps_to_a_text_after_another_ones_mark():
+    rows = ["a <|", ",a1", "9. x", "<|", "|A"]  # "<|" may begin a special token's text, in its own text only
+    assert encoder("word").encode([t.encode() for t in rows]) == [np.array(e.ids, "<u4").tobytes() for e in library(WORD_BPE).encode_batch(rows, add_special_tokens=False)]
+
+
 def test_span_hashes_of_patterned_words():
     rng = np.random.default_rng(0)
     words = {bytes(rng.choice([97, 98], n).astype(np.uint8)) for n in (7, 8, 9, 16, 64, 1024, 1030, 5000) for _ in range(300)}
