@@ -494,12 +494,12 @@ class _Encoder:
             entry[new] = told[back]
         else:
             self.used.all[entry] = True
-        other = long[~self._equal(data, words, begin[long], end[long], entry[long])]
+        other = long[~self._equal(data, begin[long], end[long], entry[long])]
         if len(other):
             units = [data[i:j].tobytes() for i, j in zip(begin[other].tolist(), end[other].tolist(), strict=True)]
             at = {u: k for k, u in zip(other.tolist(), units, strict=True) if u not in self.twins}
             places = np.array(list(at.values()), np.int64)
-            self.twins.update(zip(at, self._remember(data, begin[places], end[places], np.full(len(places), -1)).tolist(), strict=True))
+            self.twins.update(zip(at, self._remember(data, begin[places], end[places]).tolist(), strict=True))
             entry[other] = [self.twins[u] for u in units]
         size = self.size.all[entry]
         upto = np.concatenate(([0], np.cumsum(size)))
@@ -525,8 +525,8 @@ class _Encoder:
         odd[: len(data) - 1] |= (data[:-1] == 60) & (data[1:] == 124)  # may begin a special token's text
         return ~np.logical_or.reduceat(odd, begin)
 
-    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        """Encodes units and keeps their ids and bytes; their numbers in the memory."""
+    def _remember(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, keys: np.ndarray | None = None) -> np.ndarray:
+        """Encodes units and keeps their ids and bytes; their numbers in the memory. ``keys``: none for twins."""
         if not len(begin):
             return np.zeros(0, np.int64)
         n = end - begin
@@ -545,7 +545,7 @@ class _Encoder:
             sizes[rest], starts[rest] = size, len(ids) + np.cumsum(size) - size
             ids = np.concatenate((ids, np.frombuffer(b"".join(told), "<u4")))
         number = np.arange(self.keys.n, self.keys.n + len(n))
-        self.keys.add(keys)
+        self.keys.add(np.full(len(n), -1) if keys is None else keys)
         self.used.add(np.zeros(len(n), bool))
         self.start.add(self.ids.n + starts)
         self.size.add(sizes)
@@ -555,7 +555,7 @@ class _Encoder:
         self.bytes.add(data)
         return number
 
-    def _equal(self, data: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    def _equal(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Whether each unit has the bytes of the entry found for it."""
         n = end - begin
         here, there = self.byte_start.all[entry], begin
@@ -563,7 +563,7 @@ class _Encoder:
         for k in np.flatnonzero(same & (n > LONG)).tolist():
             same[k] = np.array_equal(data[begin[k] : end[k]], self.bytes.all[here[k] : here[k] + n[k]])
         at = np.flatnonzero(same & (n <= LONG))
-        one, two, left = words, self.bytes.held, n[at]
+        one, two, left = words_at(data), self.bytes.held, n[at]
         two = np.ndarray((len(two) - 7,), "<u8", two, strides=(1,))
         here, there = here[at], there[at]
         while len(at):  # eight bytes at a time
