@@ -182,7 +182,7 @@ def ngram_hashes(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndar
     for k in range(n):
         shifted = np.zeros(len(words), np.uint64)
         ok = at + k < np.repeat(counts, counts)
-        shifted[: len(words) - k] = words[k:] if k else words
+        shifted[: max(len(words) - k, 0)] = words[k:]
         key = key * np.uint64(0xD6E8FEB86659FD93) + np.where(ok, shifted * _ODD[k + 11], np.uint64(k + 1))
     keep = (at + n <= np.repeat(counts, counts)) | ((at == 0) & (np.repeat(counts, counts) < n))
     return mix(key[keep]), np.bincount(row[keep], minlength=rows).astype(np.int64)

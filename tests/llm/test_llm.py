@@ -765,6 +765,17 @@ def test_pipeline_stages_return_small_row_groups(spark, tmp_path):
     assert spark.conf.get(corpus_pipeline.GROUPS, None) is None  # and run leaves the session as it was
 
 
+def test_shingles_of_fewer_words_than_one_shingle():
+    """A slice may hold fewer words, all its texts together, than a shingle has; its texts get the shingles they get elsewhere."""
+    words = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for n in (3, 5):
+        for counts in ([0], [1], [2], [3], [4], [1, 1], [0, 3], [1, 0, 2]):
+            counts = np.array(counts)
+            few = common.ngram_hashes(words[: counts.sum()], counts, n)
+            many = common.ngram_hashes(words, np.append(counts, 8 - counts.sum()), n)
+            assert few[0].tolist() == many[0][: len(few[0])].tolist() and few[1].tolist() == many[1][:-1].tolist() == [max(min(c, 1), c - n + 1) for c in counts.tolist()]
+
+
 def test_byte_encoder_merges_new_units_at_once(monkeypatch):
     """A proposal is wrong for most new words of syllables; they aren't proposed, checked and merged, but merged."""
     rng = np.random.default_rng(9)
