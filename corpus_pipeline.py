@@ -7,8 +7,11 @@ Defined results: each stage handles nulls, repeated rows, empty tables and furth
 table without ``labels`` beside it has no toxic documents.
 
 A task that reads or writes Parquet holds a whole row group, so the stages' results are written in groups of ROW_GROUP bytes:
-with the usual 128 MB, a few tasks that read one stage's result and write the next fill a heap of 1 GB. As the caller may
-write a stage's result, a stage sets ``parquet.block.size`` in the session unless it is set there; ``run`` takes it back.
+with the usual 128 MB, a few tasks that read one stage's result and write the next fill a heap of 1 GB. A batch of 10,000
+documents, as Spark sends them to Python, is 25 MB of text and more: it stands in Arrow's memory beside the heap, where each
+column is moved to ever larger places as it grows, and again in the worker. So a batch ends at BATCH bytes. As the caller may
+write a stage's result, a stage sets ``parquet.block.size`` and ``spark.sql.execution.arrow.maxBytesPerBatch`` in the session
+unless they are set there; ``run`` takes them back.
 """
 
 from __future__ import annotations
@@ -20,19 +23,24 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from recframe.llm import jaccard, line_dedup, packing, quality_rules, toxicity
-from recframe.llm.common import removed, shared_dir, table, table_if_any
+from recframe.llm.common import SLICE_BYTES, SLICES_KEPT, removed, shared_dir, table, table_if_any
 
 #: Bytes of a row group in what stages return, about, and the setting for it.
 ROW_GROUP, GROUPS = 8 << 20, "parquet.block.size"
+#: Bytes of an Arrow batch, about, and the setting for it: as many slices as a worker works on before it gives memory back.
+BATCH, BATCHES = SLICES_KEPT * SLICE_BYTES, "spark.sql.execution.arrow.maxBytesPerBatch"
+BOUNDS = {GROUPS: ROW_GROUP, BATCHES: BATCH}
 
 
 def in_small_groups(stage: Callable) -> Callable:
-    """``stage``, whose result is written in row groups of ROW_GROUP bytes unless the session says otherwise."""
+    """``stage``, which works by batches of BATCH bytes, and whose result is written in row groups of ROW_GROUP bytes, unless
+    the session says otherwise."""
 
     @wraps(stage)
     def own(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if spark.conf.get(GROUPS, None) is None:
-            spark.conf.set(GROUPS, str(ROW_GROUP))
+        for key, most in BOUNDS.items():
+            if spark.conf.get(key, None) is None:
+                spark.conf.set(key, str(most))
         return stage(spark, docs, sf_dir)
 
     return own
@@ -77,7 +85,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, each on what the one before has written."""
     docs = table(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    before = spark.conf.get(GROUPS, None)
+    own = [key for key in BOUNDS if spark.conf.get(key, None) is None]
     try:
         for k, (_, stage) in enumerate(STAGES):
             path = f"{base}/{k}"
@@ -86,8 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
                 removed(spark, f"{base}/{k - 1}")  # nothing reads it any more
             docs = spark.read.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(GROUPS)
+        for key in own:
+            spark.conf.unset(key)
     return docs
 
 

@@ -81,6 +81,13 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
             release()
 
 
+def rows_of(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A table of a few rows that the driver holds. It is given to Spark by Arrow: of a list of rows Spark makes an RDD that
+    starts Python workers of a kind of their own, which then stay in each executor beside the others."""
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema))
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -223,7 +230,7 @@ def skewed_join(left: DataFrame, right: DataFrame, key: str, by: str, often: lis
     """
     if not often:
         return left.join(right, [key, *also], how)
-    table = F.broadcast(left.sparkSession.createDataFrame(often, f"{key} long, salts int"))
+    table = F.broadcast(rows_of(left.sparkSession, often, pa.schema({key: pa.int64(), "salts": pa.int32()})))
     salts = F.coalesce("salts", F.lit(1))
     dealt = left.join(table, key, "left").withColumn("salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
     copied = right.join(table, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")

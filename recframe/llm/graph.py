@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL, cut
+from .common import SMALL, cut, rows_of
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -46,8 +46,7 @@ def components(edges: DataFrame, few: int = SMALL) -> DataFrame:
     state = _state(edges)
     if state[0] <= few:
         found = union(zip(*(c.to_pylist() for c in edges.toArrow().columns), strict=True))
-        columns = zip(*found, strict=True) if found else ([], [])
-        return edges.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=["node", "component"]))
+        return rows_of(edges.sparkSession, found, pa.schema({"node": pa.int64(), "component": pa.int64()}))
     while True:
         both = _both_ways(edges)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

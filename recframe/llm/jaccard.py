@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, dropped, frequent, map_arrow, ngram_hashes, sets_of, skewed_join, slices, SMALL, small, stored, texts, words_of
+from .common import cut, dropped, frequent, map_arrow, ngram_hashes, rows_of, sets_of, skewed_join, slices, SMALL, small, stored, texts, words_of
 from .graph import components
 
 BUCKETS, CHUNK, RANGES, SLOTS = 1 << 18, 1 << 12, 128, 1 << 26
@@ -359,9 +359,9 @@ class JaccardJoin:
                 if k:
                     comp = cut(components(links))
         if comp is None:
-            comp = digests.sparkSession.createDataFrame([], "node long, component long")
+            comp = rows_of(digests.sparkSession, [], pa.schema({"node": pa.int64(), "component": pa.int64()}))
         if links is None or not count_links:
-            degree = digests.sparkSession.createDataFrame([], "rep long, links long")
+            degree = rows_of(digests.sparkSession, [], pa.schema({"rep": pa.int64(), "links": pa.int64()}))
         else:
             degree = cut(self._degrees(comp, rep, sets))
         dropped(shared)  # what follows reads checkpoints only

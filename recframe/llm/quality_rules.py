@@ -28,9 +28,12 @@ instead of being pushed down with all that they are made of written out again.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import rows_of
+
 #: The commonest words of each language.
 COMMON_WORDS = {
     "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "as", "be", "by"],
@@ -145,7 +148,7 @@ def references(docs: DataFrame, min_words: int = 50) -> DataFrame:
     out = [(lang, [r[f"c{k}"] / r["n"] for k in range(classes)], [r[f"w{k}"] / r["n"] for k in range(words)]) for lang, r in found.items() if lang != REST]
     if total := sum(r["n"] for r in found.values()):
         out.append((REST, [sum(r[f"c{k}"] for r in found.values()) / total for k in range(classes)], []))
-    return docs.sparkSession.createDataFrame(out, "lang string, class_reference array<double>, word_reference array<double>")
+    return rows_of(docs.sparkSession, out, pa.schema({"lang": pa.string(), "class_reference": pa.list_(pa.float64()), "word_reference": pa.list_(pa.float64())}))
 
 
 def distance(shares: Column, reference: Column) -> Column:

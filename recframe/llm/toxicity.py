@@ -192,7 +192,8 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
-            yield batch.filter(pa.array([own.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            column = batch.column(at)
+            yield batch.filter(pa.array([own.score(t or "") < threshold for lo, hi in slices(column) for t in column.slice(lo, hi - lo).to_pylist()], pa.bool_()))
 
     numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     return map_arrow(numbered, run, numbered.schema).toDF(*docs.columns)

@@ -765,6 +765,37 @@ def test_pipeline_stages_return_small_row_groups(spark, tmp_path):
     assert spark.conf.get(corpus_pipeline.GROUPS, None) is None  # and run leaves the session as it was
 
 
+def test_pipeline_stages_send_small_batches(spark, tmp_path):
+    """Of 12 MB in one partition: what stands in Arrow's memory, and in a worker, at once is bounded by bytes, not by rows."""
+    import corpus_pipeline
+    import pyarrow as pa
+
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), F.expr("repeat(hex(xxhash64(id)), 512)").alias("text"), F.lit("en").alias("lang")).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    for key in corpus_pipeline.BOUNDS:
+        spark.conf.unset(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path))
+            got = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in got) == 1500 and max(r["size"] for r in got) < 1.5 * corpus_pipeline.BATCH
+            spark.conf.unset(corpus_pipeline.BATCHES)
+        spark.conf.set(corpus_pipeline.BATCHES, "12345")
+        corpus_pipeline.run(spark, str(tmp_path)).count()
+        assert spark.conf.get(corpus_pipeline.BATCHES) == "12345"  # what the caller has set holds
+    finally:
+        for key in corpus_pipeline.BOUNDS:
+            spark.conf.unset(key)
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    assert spark.conf.get(corpus_pipeline.BATCHES, None) is None
+
+
 def test_shingles_of_fewer_words_than_one_shingle():
     """A slice may hold fewer words, all its texts together, than a shingle has; its texts get the shingles they get elsewhere."""
     words = np.arange(1, 9, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -776,6 +807,19 @@ def test_shingles_of_fewer_words_than_one_shingle():
             assert few[0].tolist() == many[0][: len(few[0])].tolist() and few[1].tolist() == many[1][:-1].tolist() == [max(min(c, 1), c - n + 1) for c in counts.tolist()]
 
 
+def test_rows_of_the_driver_start_no_workers(spark, documents):
+    """Tables that the driver has made are plain rows for Spark, not an RDD that Python workers of its own read again."""
+    left = spark.range(40).select((F.col("id") % 4).alias("k"), "id")
+    right = spark.range(4).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    joined = common.skewed_join(left, right, "k", "id", [(1, 3)])
+    for df in (quality_rules.references(documents), joined, quality_rules.keep(documents), graph.components(left.select(F.col("id").alias("a"), F.col("k").alias("b")))):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, joined.collect())) == sorted((i % 4, i, 10 * (i % 4)) for i in range(40))
+    none = common.rows_of(spark, [], quality_rules.pa.schema({"a": quality_rules.pa.int64()}))
+    assert none.dtypes == [("a", "bigint")] and none.collect() == []
+    assert {r["lang"] for r in quality_rules.references(documents).collect()} == {"", "en", "de", "fr", "es"}
+
+
 def test_byte_encoder_merges_new_units_at_once(monkeypatch):
     """A proposal is wrong for most new words of syllables; they aren't proposed, checked and merged, but merged."""
     rng = np.random.default_rng(9)
